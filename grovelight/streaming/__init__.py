@@ -1,0 +1,4 @@
+"""The analysed workload is batch only: no stream source, window or state exists in it.
+
+Incremental work is expressed with resumable batch runs instead (``sources.runs``).
+"""

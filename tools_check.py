@@ -1,0 +1,85 @@
+"""Run registered queries against their SQL: python tools_check.py [--sf DIR] [name-prefix ...]"""
+
+from __future__ import annotations
+
+import argparse
+import glob
+import importlib
+import math
+import os
+import time
+
+import duckdb
+
+from grovelight.plans import catalogue
+from grovelight.session import local_session
+
+
+def canonical(rows, names):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+
+    def cell(v):
+        if isinstance(v, float):
+            return "nan" if math.isnan(v) else repr(v + 0.0)
+        return repr(v)
+
+    return sorted("|".join(cell(r[i]) for i in order) for r in rows)
+
+
+def main():
+    parser = argparse.ArgumentParser()
+    parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--module")
+    parser.add_argument("names", nargs="*")
+    args = parser.parse_args()
+    spark = local_session()
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in glob.glob(f"{args.sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    if args.module:
+        module = importlib.import_module(f"grovelight.plans.{args.module}")
+        queries, sql = module.QUERIES, module.SQL
+    else:
+        queries, sql = catalogue.queries(), catalogue.oracle_sql()
+    bad = []
+    for name, query in queries.items():
+        if args.names and not any(name.startswith(n) for n in args.names):
+            continue
+        start = time.time()
+        try:
+            df = query(spark, args.sf)
+            rows = df.collect()
+        except Exception as e:  # report and go on with the next query
+            bad.append(name)
+            print(f"FAIL {name}: {str(e)[:600]}", flush=True)
+            continue
+        took = time.time() - start
+        if name not in sql:
+            print(f"rows {name} {len(rows)} {took:.2f}s", flush=True)
+            continue
+        try:
+            result = con.execute(sql[name])
+            names = [c[0] for c in result.description]
+            kinds = {c[0]: str(c[1]) for c in result.description}
+            expected = result.fetchall()
+        except Exception as e:
+            bad.append(name)
+            print(f"SQLFAIL {name}: {str(e)[:600]}", flush=True)
+            continue
+        mine = canonical(rows, df.columns)
+        theirs = canonical(expected, names)
+        ok = sorted(names) == sorted(df.columns) and mine == theirs
+        if not ok:
+            bad.append(name)
+            print(f"DIFF {name} rows {len(mine)}/{len(theirs)} cols {sorted(df.columns)} / {sorted(names)}")
+            print("  types", dict(df.dtypes), kinds)
+            print("  only spark", [r for r in mine if r not in set(theirs)][:3])
+            print("  only sql  ", [r for r in theirs if r not in set(mine)][:3], flush=True)
+        else:
+            print(f"ok   {name} {len(rows)} {took:.2f}s {sorted(df.dtypes)} {sorted(kinds.items())}", flush=True)
+    print("BAD", bad)
+
+
+if __name__ == "__main__":
+    main()
