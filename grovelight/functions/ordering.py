@@ -22,7 +22,12 @@ def with_range(df: DataFrame, key: Column, out: str = "_range", ranges: int = MA
         .agg(F.array_sort(F.collect_list("_k")).alias("_bounds"))
     )
     wide = df.withColumn("_bounds", bounds.scalar())  # one array of at most ``ranges`` keys
-    index = F.size(F.filter("_bounds", lambda b: b <= key))
+    steps = [1 << i for i in reversed(range((ranges - 1).bit_length()))]
+    index = F.aggregate(  # binary search: how many bounds are <= key
+        F.array(*[F.lit(step) for step in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get("_bounds", at + step - 1) <= key, at + step).otherwise(at),
+    )
     return wide.withColumn(out, F.when(key.isNull(), F.lit(-1)).otherwise(index)).drop("_bounds")
 
 
