@@ -7,6 +7,8 @@ the key space into ranges, each range is numbered by its own task, and the (at m
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_RANGES = 256
@@ -50,14 +52,20 @@ def with_position(df: DataFrame, key: Column, out: str, ranges: int = MAX_RANGES
     return with_running_total(df, key, F.lit(1), out, ranges).withColumn(out, F.col(out).cast("long"))
 
 
-def value_ranks(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
-    """One row per distinct value with its tie-averaged ascending rank: ``(value, n, rank)``.
+def value_ranks(df: DataFrame, value: str, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct value with its tie-averaged ascending rank: ``(*by, value, n, rank)``.
 
     ``weight`` counts a row several times. Ranks run over distinct values, so heavy ties are reduced
-    by the aggregation before anything is sorted.
+    by the aggregation before anything is sorted. Groups are ranked together: they follow each other
+    in one global order, and every group starts again from its own first value.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(
+    by = list(by)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("n")
     )
-    placed = with_running_total(counted, F.col(value), F.col("n"), "_before")
-    return placed.select(value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
+    key = F.struct(*by, value) if by else F.col(value)
+    placed = with_running_total(counted, key, F.col("n"), "_before")
+    if by:
+        starts = placed.groupBy(*by).agg(F.min("_before").alias("_start"))
+        placed = placed.join(starts, by).withColumn("_before", F.col("_before") - F.col("_start"))
+    return placed.select(*by, value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
