@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import ship_package
+
 ROWS_PER_BLOCK = 1024
 MIN_ROWS_PER_BLOCK = 32
 
@@ -110,6 +112,7 @@ def run_tiles(
     more: Sequence[str] = (),
 ) -> DataFrame:
     """Apply ``kernel(left, right, same_block)`` to every tile; it returns columns of equal length."""
+    ship_package(tiled.sparkSession)
     by, more = list(by), list(more)
     group_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in tiled.select(*by).schema.fields) if by else ""
 
@@ -140,7 +143,7 @@ def run_tiles(
     return tiled.mapInArrow(work, group_schema + schema)
 
 
-def _both_ways(one_way: Callable[[Block, Block, bool], list[np.ndarray]], left: Block, right: Block, same: bool) -> list[np.ndarray]:
+def both_ways(one_way: Callable[[Block, Block, bool], list[np.ndarray]], left: Block, right: Block, same: bool) -> list[np.ndarray]:
     """Run a directed kernel from left to right and, for different blocks, from right to left."""
     parts = one_way(left, right, same)
     if same:
@@ -203,7 +206,7 @@ def knn_graph(points: DataFrame, k: int, include_self: bool = False, by: Sequenc
         return [a.ids[r[best]], b.ids[c[best]], d[best]]
 
     def kernel(left: Block, right: Block, same: bool) -> dict[str, np.ndarray]:
-        i, j, d = _both_ways(one_way, left, right, same)
+        i, j, d = both_ways(one_way, left, right, same)
         return {"i": i, "j": j, "d": d}
 
     local = run_tiles(tiles(points, by), kernel, "i long, j long, d double", by)
@@ -253,7 +256,7 @@ def ranks_of_pairs(points: DataFrame, pairs: DataFrame, by: Sequence[str] = ())
         return [a.ids[row], want, counts]
 
     def kernel(left: Block, right: Block, same: bool) -> dict[str, np.ndarray]:
-        i, j, n = _both_ways(one_way, left, right, same)
+        i, j, n = both_ways(one_way, left, right, same)
         return {"i": i, "j": j, "n": n}
 
     counted = run_tiles(tiles(packed, by, more), kernel, "i long, j long, n long", by, more)
