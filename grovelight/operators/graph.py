@@ -32,14 +32,23 @@ def roots(scratch: Scratch, parents: DataFrame) -> DataFrame:
     """``(comp, parent)`` with self-loops at roots -> ``(comp, root)`` by pointer doubling."""
     state = scratch.cut(parents.select("comp", F.col("parent").alias("root")), "jump", keep=2)
     while True:
-        up = state.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        stepped = state.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        new = scratch.cut(stepped, "jump", keep=2)
+        twice = _jump(state, state)
+        four = _jump(twice, twice)
+        new = scratch.cut(
+            four.join(state.select("comp", F.col("root").alias("was")), "comp").select("comp", "root", (F.col("root") != F.col("was")).alias("moved")),
+            "jump", keep=2,
+        )
         if new.where("moved").isEmpty():
             return new.select("comp", "root")
         state = new.select("comp", "root")
 
 
+def _jump(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.select(F.col("comp").alias("root"), F.col("root").alias("next")), "root").select(
+        "comp", F.col("next").alias("root")
+    )
+
+
 def forest(
     nodes: DataFrame, lightest: Callable[[DataFrame], DataFrame], scratch: Scratch, keep_rounds: bool = False
 ) -> Forest:

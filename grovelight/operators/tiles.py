@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..session import ship_package
 
 ROWS_PER_BLOCK = 1024
 MIN_ROWS_PER_BLOCK = 32
+SMALL_BYTES = 64 << 20
 
 
 @dataclass
@@ -62,15 +63,30 @@ def rough_square(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     return rough, 1e-14 * (a.shape[1] + 8) * scale
 
 
-def block_count(points: DataFrame, by: Sequence[str]) -> int:
-    spark = points.sparkSession
-    sizes = points.groupBy(*by).count().agg(F.max("count").alias("n"), F.count(F.lit(1)).alias("groups")) if by else \
-        points.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("groups"))
-    row = sizes.first()
-    n, groups = row["n"] or 0, max(row["groups"], 1)
+@dataclass(frozen=True)
+class Tiling:
+    """How a table is cut: blocks per group, and whether all blocks together are known to be small."""
+
+    blocks: int
+    small: bool
+
+
+def tiling_for(spark: SparkSession, n: int, groups: int, size_bytes: int) -> Tiling:
     for_memory = math.ceil(n / ROWS_PER_BLOCK)
-    for_cores = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism / groups))
-    return max(1, for_memory, min(for_cores, math.ceil(n / MIN_ROWS_PER_BLOCK)))
+    for_cores = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism / max(groups, 1)))
+    blocks = max(1, for_memory, min(for_cores, math.ceil(n / MIN_ROWS_PER_BLOCK)))
+    return Tiling(blocks, size_bytes <= SMALL_BYTES)
+
+
+def tiling_of(points: DataFrame, by: Sequence[str] = (), more: Sequence[str] = ()) -> Tiling:
+    """Count rows and bytes once, and choose blocks from the largest group."""
+    arrays = [c for c in ("vec", *more) if isinstance(points.schema[c].dataType, T.ArrayType)]
+    cells = sum((F.size(c) for c in arrays), F.lit(2 + len(more)))
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(cells).alias("cells")).agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("cells").alias("cells")
+    )
+    row = sizes.first()
+    return tiling_for(points.sparkSession, row["n"] or 0, row["groups"], 8 * (row["cells"] or 0))
 
 
 def _pack(points: DataFrame, by: Sequence[str], blocks: int, more: Sequence[str]) -> DataFrame:
@@ -79,21 +95,26 @@ def _pack(points: DataFrame, by: Sequence[str], blocks: int, more: Sequence[str]
     return rows.select(*by, "_b", F.col("r.id").alias("ids"), F.flatten("r.vec").alias("flat"), *[F.col(f"r.{m}").alias(m) for m in more])
 
 
-def tiles(points: DataFrame, by: Sequence[str] = (), more: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+def tiles(points: DataFrame, by: Sequence[str] = (), more: Sequence[str] = (), tiling: Tiling | None = None) -> DataFrame:
     """One row per unordered pair of blocks, with the packed columns of both (``l_…`` and ``r_…``)."""
     spark = points.sparkSession
     by = list(by)
-    blocks = blocks or block_count(points, by)
+    tiling = tiling or tiling_of(points, by, more)
+    blocks = tiling.blocks
     packed = _pack(points, by, blocks, more)
     cores = spark.sparkContext.defaultParallelism
-    wanted = int(min(blocks * (blocks + 1) // 2 * 4, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    pairs = (
-        packed.select(*by, F.col("_b").alias("_l"), F.explode(F.sequence("_b", F.lit(blocks - 1))).alias("_r"))
-        .repartition(max(wanted, 1), *by, "_l", "_r")
-    )
+    tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if by:
+        firsts = packed.select(*by, F.col("_b").alias("_l"))
+    else:
+        firsts = spark.range(0, blocks, 1, 1).select(F.col("id").cast("int").alias("_l"))
+        tasks = min(tasks, blocks * (blocks + 1) // 2)
+    pairs = firsts.withColumn("_r", F.explode(F.sequence("_l", F.lit(blocks - 1)))).repartition(tasks, *by, "_l", "_r")
     carried = ["ids", "flat", *more]
     left = packed.select(*by, F.col("_b").alias("_l"), *[F.col(c).alias(f"l_{c}") for c in carried])
     right = packed.select(*by, F.col("_b").alias("_r"), *[F.col(c).alias(f"r_{c}") for c in carried])
+    if tiling.small:  # counted above
+        left, right = F.broadcast(left), F.broadcast(right)
     return pairs.join(left, [*by, "_l"]).join(right, [*by, "_r"])
 
 
