@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordering import with_position, with_running_total
+from ..sources.scratch import Scratch
 from .trees import Indexed, ancestors, count_below, index_tree, lca, meeting_nodes
 
 
@@ -18,9 +19,12 @@ def sample_class_pairs(labels: DataFrame, m: int, seed: int) -> DataFrame:
     A class is drawn with weight C(size, 2), then two distinct members by their position in it.
     """
     spark = labels.sparkSession
-    known = labels.where("label IS NOT NULL").select("id", "label")
-    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weighed = with_running_total(sizes, F.col("label"), (F.col("n") * (F.col("n") - 1) / 2).cast("long"), "start")
+    scratch = Scratch(spark)
+    known = scratch.cut(labels.where("label IS NOT NULL").select("id", "label"), "known")
+    sizes = scratch.cut(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    weighed = scratch.cut(
+        with_running_total(sizes, F.col("label"), (F.col("n") * (F.col("n") - 1) / 2).cast("long"), "start"), "weighed"
+    )
     total = sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("t"))
     draw = lambda tag: F.pmod(F.xxhash64(F.col("pair"), F.lit(f"{tag}:{seed}")), F.lit(1 << 62))
     picks = spark.range(m).withColumnRenamed("id", "pair").withColumn("_total", total.scalar()).where("_total > 0")
@@ -30,7 +34,8 @@ def sample_class_pairs(labels: DataFrame, m: int, seed: int) -> DataFrame:
     spots = marks.unionByName(picks.select("u", F.lit(1).alias("kind"), "pair", F.lit(0).alias("w")))
     which = with_running_total(spots, F.struct("u", "kind", "pair"), F.col("w"), "c").where("kind = 1").select("pair", (F.col("c") - 1).alias("cls"))
     classes = with_position(weighed, F.col("start"), "cls")
-    members = with_position(known.join(sizes.select("label"), "label"), F.struct("label", "id"), "at")
+    which, classes = scratch.cut(which, "which"), scratch.cut(classes, "classes")
+    members = scratch.cut(with_position(known.join(sizes.select("label"), "label"), F.struct("label", "id"), "at"), "members")
     first = members.groupBy("label").agg(F.min("at").alias("first"))
     drawn = (
         picks.join(which, "pair").join(classes, "cls").join(first, "label")

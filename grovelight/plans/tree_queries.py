@@ -77,12 +77,12 @@ def _log(s, d):
     data = points(s, d)
     ids = data.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"))
     top = data.agg(F.max("id")).first()[0]
-    log = c.merge_log(c.merge_close(data, 1.0), ids, top + 1)
+    log = c.merge_log(c.merge_close(data, 1.15), ids, top + 1)
     return log.select("a", "b", "new_id", F.round("d", 6).alias("d"))
 
 
 def _components(s, d):
-    return c.single_linkage_components(points(s, d), 0.95)
+    return c.single_linkage_components(points(s, d), 1.1)
 
 
 def _graph_parts(s, d):
@@ -101,7 +101,7 @@ QUERIES = {
     "T4_single_linkage_components": _components,
     "T5_diffusion_operator": _operator,
     "T6_diffusion_step": _step,
-    "T7_merge_close": lambda s, d: c.merge_close(points(s, d), 1.0).select("j", "i", F.round("d", 6).alias("d")),
+    "T7_merge_close": lambda s, d: c.merge_close(points(s, d), 1.15).select("j", "i", F.round("d", 6).alias("d")),
     "T8_merge_log": _log,
     "T9_diffusion_condensation": lambda s, d: _merges(c.diffusion_condensation(points(s, d), max_iterations=40)),
     "T10_tree_from_merges": lambda s, d: tr.tree_from_merges(_comb(s, d)),
@@ -149,7 +149,7 @@ near AS (SELECT i, j, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i
 e AS (SELECT i, j, max(d) AS d FROM (SELECT i, j, d FROM near UNION ALL SELECT j, i, d FROM near) GROUP BY 1, 2),
 k AS (SELECT i, j, exp(-pow(d / max(d) OVER (PARTITION BY i), 3)) AS w FROM e),
 op AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM k)"""
-_CLOSE = f"""{_NEAR}, low_pairs AS (SELECT i AS j, j AS i, d FROM pairs WHERE j < i AND d < 1.0),
+_CLOSE = f"""{_NEAR}, low_pairs AS (SELECT i AS j, j AS i, d FROM pairs WHERE j < i AND d < 1.15),
 close AS (SELECT j, i, d FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY d, i) AS r FROM low_pairs) WHERE r = 1)"""
 _LABEL_COUNTS = f"""{HIER_CTE}, nat AS (SELECT category_0 AS r, category_1 AS n, category_2 AS c, CAST(count(*) AS DOUBLE) AS m FROM hier GROUP BY ALL),
 reg AS (SELECT r, c, sum(m) AS m, sum(m * (m - 1) / 2) AS inside FROM nat GROUP BY ALL),
@@ -166,7 +166,7 @@ SELECT node, min(other) AS comp FROM reach GROUP BY 1"""
 
 SQL = {
     "T1_ground_truth_tree": f"WITH RECURSIVE {_TREE} SELECT node, parent, size, is_leaf FROM tree",
-    "T4_single_linkage_components": _component_sql("SELECT i, j FROM pairs WHERE d <= 0.95"),
+    "T4_single_linkage_components": _component_sql("SELECT i, j FROM pairs WHERE d <= 1.1"),
     "T5_diffusion_operator": f"WITH {_OPERATOR} SELECT i, j, round(w, 6) AS w FROM op",
     "T6_diffusion_step": f"""WITH {_OPERATOR}, x AS (SELECT id, unnest(range(len(vec))) AS pos, unnest(vec) AS x FROM points)
 SELECT i AS id, pos, round(sum(w * x), 6) AS x FROM op JOIN x ON x.id = op.j GROUP BY 1, 2""",

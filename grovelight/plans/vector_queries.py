@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
+from ..functions.text import ASCII_SPACE
 from ..operators import reductions as rd, tiles as t
 from ..operators.describe import describe_clusters
-from .relations import LOW_CTE, POINTS_CTE, corpus, flat_points, points, table
+from .relations import CORPUS_CTE, POINTS_CTE, corpus, flat_points, points
 
 
 def _normalized(s, d):
@@ -87,6 +88,12 @@ e AS (SELECT i, j, exp(-pow(d / eps, 10)) AS w FROM near JOIN eps USING (i)),
 k AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT j, i, w FROM e) GROUP BY 1, 2
   UNION ALL SELECT id, id, 1.0 FROM points)
 SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM k""",
+    "T22_describe_clusters": f"""WITH {CORPUS_CTE}, w AS (SELECT category_1 AS cluster, unnest(regexp_extract_all(lower(topic), '[^{ASCII_SPACE}]+')) AS term FROM corpus),
+c AS (SELECT cluster, term, count(*) AS tf FROM w GROUP BY 1, 2),
+o AS (SELECT term, sum(tf) AS all_tf FROM c GROUP BY 1), z AS (SELECT cluster, sum(tf) AS terms FROM c GROUP BY 1),
+x AS (SELECT cluster, term, round(tf / terms * ln(1 + (SELECT avg(terms) FROM z) / all_tf), 9) AS weight FROM c JOIN o USING (term) JOIN z USING (cluster))
+SELECT cluster, rank, round(weight, 6) AS weight FROM (
+  SELECT cluster, weight, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM x) WHERE rank <= 5""",
     "V14_reductions_table": """SELECT 'Raw' AS method, vec_id AS id, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[2] AS DOUBLE), 6) AS second FROM embeddings
 UNION ALL SELECT 'First', vec_id, 2, round(CAST(embedding[2] AS DOUBLE), 6) FROM embeddings""",
 }
