@@ -193,6 +193,12 @@ SELECT i, j, anc, size FROM (SELECT p.i, p.j, a.anc, tree.size, row_number() OVE
     "T18_tree_summary": f"""WITH RECURSIVE {_TREE}, d AS (SELECT node, CAST(max(steps) AS BIGINT) AS depth FROM up GROUP BY 1),
 k AS (SELECT parent AS node, count(*) AS kids FROM tree WHERE parent IS NOT NULL GROUP BY 1)
 SELECT depth, count(*) AS nodes, round(avg(kids), 6) AS mean_children, min(kids) AS min_children, max(kids) AS max_children FROM d JOIN k USING (node) GROUP BY 1""",
+    "T23_clade_difference": f"""WITH RECURSIVE {_TREE},
+a AS (SELECT DISTINCT leaves FROM (SELECT anc, string_agg(CAST(up.node AS VARCHAR), ',' ORDER BY up.node) AS leaves
+  FROM up JOIN tree ON tree.node = up.node WHERE tree.is_leaf AND steps > 0 GROUP BY anc)),
+b AS (SELECT DISTINCT leaves FROM (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS leaves FROM hier GROUP BY GROUPING SETS ((category_2), (category_2, category_0), ()))),
+x AS (SELECT count(*) AS only_a FROM a WHERE leaves NOT IN (SELECT leaves FROM b)), y AS (SELECT count(*) AS only_b FROM b WHERE leaves NOT IN (SELECT leaves FROM a))
+SELECT only_a, only_b, only_a + only_b AS difference FROM x, y""",
     "T24_connected_components": _component_sql("SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs) WHERE r <= 2"),
     "H3_dendrogram_purity": f"""WITH {_LABEL_COUNTS}
 SELECT round(sum(t) / (SELECT sum(m * (m - 1) / 2) FROM al), 6) AS dendrogram_purity FROM (
