@@ -90,6 +90,12 @@ def _graph_parts(s, d):
     return g.connected_components(data.select(F.col("id").alias("node")), t.knn_graph(data, 2).select("i", "j"))
 
 
+def _membership(s, d):
+    customers = table(s, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").cast("long").alias("cluster"))
+    nations = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("item"), F.col("n_regionkey").cast("long").alias("cluster"))
+    return c.membership_table([customers, nations])
+
+
 def _merges(df):
     return df.select("node", "left", "right", F.round("height", 6).alias("height"), "size")
 
@@ -114,6 +120,7 @@ QUERIES = {
     "T17_children_lists": _children,
     "T18_tree_summary": _summary,
     "T19_hierarchical_kmeans": lambda s, d: c.hierarchical_kmeans(points(s, d), [40, 10, 2]),
+    "T20_membership_table": _membership,
     "T21_membership_to_tree": lambda s, d: tr.membership_to_tree(
         c.hierarchical_kmeans(points(s, d), [10, 2]), ["level_1", "level_2", "level_3"]
     ),
@@ -193,6 +200,8 @@ SELECT i, j, anc, size FROM (SELECT p.i, p.j, a.anc, tree.size, row_number() OVE
     "T18_tree_summary": f"""WITH RECURSIVE {_TREE}, d AS (SELECT node, CAST(max(steps) AS BIGINT) AS depth FROM up GROUP BY 1),
 k AS (SELECT parent AS node, count(*) AS kids FROM tree WHERE parent IS NOT NULL GROUP BY 1)
 SELECT depth, count(*) AS nodes, round(avg(kids), 6) AS mean_children, min(kids) AS min_children, max(kids) AS max_children FROM d JOIN k USING (node) GROUP BY 1""",
+    "T20_membership_table": """SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS level_1, CAST(n_regionkey AS BIGINT) AS level_2
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "T23_clade_difference": f"""WITH RECURSIVE {_TREE},
 a AS (SELECT DISTINCT leaves FROM (SELECT anc, string_agg(CAST(up.node AS VARCHAR), ',' ORDER BY up.node) AS leaves
   FROM up JOIN tree ON tree.node = up.node WHERE tree.is_leaf AND steps > 0 GROUP BY anc)),
