@@ -154,3 +154,21 @@ def _by_source(rows: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
     right = salted(by.withColumnRenamed("source", "s_source"), SALTS, "s_salt")
     on = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("salt") == F.col("s_salt"))
     return rows.join(right, on, how).drop("s_source", "s_salt")
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``, how often each is taken.
+
+    Which of several rows with one id, source and size is which copy does not matter to the mix; they are numbered by text.
+    """
+    taken = mix(docs, **settings).where("copies > 0")
+    t = taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "size", "copy")], "copies")
+    same = W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_copy", F.row_number().over(same))
+    on = (
+        F.col("doc_id").eqNullSafe(F.col("t_doc_id"))
+        & F.col("source").eqNullSafe(F.col("t_source"))
+        & (F.col("_size") == F.col("t_size"))
+        & (F.col("_copy") == F.col("t_copy"))
+    )
+    return rows.join(t, on).select(*docs.columns, "copies")
