@@ -45,7 +45,7 @@ def salt_of(salts: int, *columns: str) -> Column:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a table's size, from its files; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def part_count(df: DataFrame, bytes_each: int, least: int = 16) -> int:

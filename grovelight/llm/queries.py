@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licences, mixing, urls
+from . import decontam, jaccard, licences, mixing, urls
 from .common import table
 
 RULES = [
@@ -36,6 +36,11 @@ def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard.similar_components(table(spark, sf, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licences.scan(table(spark, sf, "documents"))
     return found.select(
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_jaccard_join": op4_jaccard_join,
     "op10_licence_scan": op10_licence_scan,
 }
 
@@ -106,4 +112,20 @@ named AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op4_jaccard_join": """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[s:s + 4] END AS g
+  FROM docs, unnest(range(1, greatest(len(words) - 4, 1) + 1)) t(s) WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT i, j FROM common JOIN sizes x ON x.doc_id = i JOIN sizes y ON y.doc_id = j WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), both_ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+reach AS (SELECT i, j FROM both_ways UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON r.j = b.i),
+least AS (SELECT i, min(j) AS j FROM reach GROUP BY i)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(j, d.doc_id), d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON i = d.doc_id""",
 }
