@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.graph import connected_components
 from .common import part_count, scratch
-from .grams import chunks, mixed, pack, set_digest, shingle_set, slices, unpack, words_in
+from .grams import chunks, mixed, pack, set_digest, shingle_set, unpack, words_in
 
 BUCKET_BYTES = 4 << 20
 BLOCK = 256

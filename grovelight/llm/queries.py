@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, licences, mixing, urls
+from . import decontam, jaccard, language_model, licences, mixing, substrings, urls
 from .common import table
 
 RULES = [
@@ -41,6 +41,16 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    found = language_model.score(table(spark, sf, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licences.scan(table(spark, sf, "documents"))
     return found.select(
@@ -57,6 +67,8 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_licence_scan": op10_licence_scan,
 }
 
@@ -128,4 +140,16 @@ reach AS (SELECT i, j FROM both_ways UNION SELECT r.i, b.j FROM reach r JOIN bot
 least AS (SELECT i, min(j) AS j FROM reach GROUP BY i)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(j, d.doc_id), d.doc_id) AS component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON i = d.doc_id""",
+    "op5_substring_dedup": """
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, s, sha256(array_to_string(words[s:s + 12], ' ')) AS w FROM docs, unnest(range(1, len(words) - 11)) t(s) WHERE len(words) >= 13
+), least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN least USING (w), unnest(range(s, s + 13)) t(p) WHERE first < doc_id),
+spots AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM spots ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted USING (doc_id)""",
 }
