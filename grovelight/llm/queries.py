@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, language_model, licences, mixing, substrings, urls
+from . import decontam, html_tree, jaccard, language_id, language_model, licences, mixing, multi_index, substrings, urls
 from .common import table
 
 RULES = [
@@ -42,10 +42,26 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = substrings.without_repeats(table(spark, sf, "documents"))
+    found = substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_html_tree(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = html_tree.extract(pages, html_tree.learn(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = language_id.identify_held_out(table(spark, sf, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+def op8_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     found = language_model.score(table(spark, sf, "documents"))
     return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
@@ -68,6 +84,9 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_html_tree": op6_html_tree,
+    "op7_language_id": op7_language_id,
+    "op8_multi_index": op8_multi_index,
     "op9_lm_score": op9_lm_score,
     "op10_licence_scan": op10_licence_scan,
 }

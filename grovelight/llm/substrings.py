@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import part_count, scratch
 from .grams import chunks, ngrams, pack, slices, unpack, words_in
@@ -178,7 +178,7 @@ def repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept (the words left, joined by single spaces).
+    """The given columns of every row, and n_words, n_removed, kept (the words left, joined by single spaces).
 
     A word goes if a window of ``length`` consecutive words that covers it also starts in a document with a smaller id; windows
     are judged on the given texts. Null and empty texts have no words. Rows without an id keep all and remove nothing elsewhere;
@@ -186,15 +186,19 @@ def without_repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFra
     """
     place = scratch(docs.sparkSession)
     found = place.cut(repeats(docs, length, seed), "repeats")
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    f = found.select(F.col("doc_id").alias("f_id"), F.col("version").alias("f_version"), "spans")
-    joined = texts.join(f.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("f_id")) & (F.col("version") == F.col("f_version")), "left")
+    f = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    joined = docs.join(f.hint("shuffle_hash"), same, "left").drop("_id", "_version")
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    )
+
+    columns, names = docs.columns, schema.names
 
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            for text, spans in zip(batch.column("text"), batch.column("_spans")):
                 words = (text.as_py() or "").encode().split()  # bytes: splits at ASCII white space only
                 n = len(words)
                 if spans.is_valid:
@@ -206,11 +210,16 @@ def without_repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFra
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "version", "n_words", "n_removed", "kept"],
-            )
+            given = [batch.column(c) for c in columns]
+            added = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(given + added, names)
 
-    return joined.select("doc_id", "version", "text", "spans").mapInArrow(
-        run, f"doc_id {kind}, version long, n_words long, n_removed long, kept string"
-    )
+    return joined.mapInArrow(run, schema)
+
+
+def with_kept_text(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
+    """``docs`` with the repeats taken out of ``text``; a text that loses nothing is left as it is. ``n_chars``, if there, follows."""
+    found = without_repeats(docs, length, seed)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    columns = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return found.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
