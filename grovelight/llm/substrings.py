@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import part_count, scratch
 from .grams import chunks, ngrams, pack, slices, unpack, words_in
 
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 _LOW48 = np.uint64(2**48 - 1)
 
 
@@ -170,8 +171,8 @@ def repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
     windows choose equal anchors. Anchors of a single document are dropped; around the others, whole windows are compared.
     An anchor's group is worked on in one task, but packed (about 60 bytes an occurrence), and no pairs are made.
     """
-    parts = part_count(docs, BUCKET_BYTES)
-    bits = min(16, max(4, int(parts - 1).bit_length()))
+    parts = part_count(docs, PART_BYTES)
+    bits = min(16, int(part_count(docs, BUCKET_BYTES) - 1).bit_length())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     found = _anchors(texts, length, seed, bits).groupBy("bucket").applyInArrow(_extended(parts), "part int, data binary")
     return found.groupBy("part").applyInArrow(_maximal(length), "doc_id long, version long, spans binary")
