@@ -1,8 +1,8 @@
 """Global positions and ranks without sending all rows through one task.
 
-A window without ``PARTITION BY`` sorts everything in one task. Here a hash sample of the keys cuts
-the key space into ranges, each range is numbered by its own task, and the (at most
-``MAX_RANGES``-row) table of range totals supplies the offsets.
+A window without ``PARTITION BY`` sorts everything in one task. Here rows are dealt into key ranges, as many as the
+session shuffles into, and written once; each range is numbered by its own task, and the small table of range totals
+supplies the offsets.
 """
 
 from __future__ import annotations
@@ -11,45 +11,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_RANGES = 256
+from ..sources.scratch import Scratch
 
 
-def with_range(df: DataFrame, key: Column, out: str = "_range", ranges: int = MAX_RANGES) -> DataFrame:
-    """Add the index of the key range a row falls in. Keys should be distinct or nearly so."""
-    bounds = (
-        df.select(key.alias("_k"))
-        .where(F.col("_k").isNotNull())
-        .orderBy(F.xxhash64("_k"), "_k")
-        .limit(ranges - 1)
-        .agg(F.array_sort(F.collect_list("_k")).alias("_bounds"))
-    )
-    wide = df.withColumn("_bounds", bounds.scalar())  # one array of at most ``ranges`` keys
-    steps = [1 << i for i in reversed(range((ranges - 1).bit_length()))]
-    index = F.aggregate(  # binary search: how many bounds are <= key
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get("_bounds", at + step - 1) <= key, at + step).otherwise(at),
-    )
-    return wide.withColumn(out, F.when(key.isNull(), F.lit(-1)).otherwise(index)).drop("_bounds")
-
-
-def with_running_total(df: DataFrame, key: Column, weight: Column, out: str, ranges: int = MAX_RANGES) -> DataFrame:
-    """Add the total weight of all rows before this one in ascending key order (distinct keys)."""
-    cut = with_range(df, key, ranges=ranges)
-    totals = cut.groupBy("_range").agg(F.sum(weight).alias("_total"))
+def with_running_total(df: DataFrame, key: Column, weight: Column, out: str) -> DataFrame:
+    """Add the total weight of all rows before this one in ascending key order (distinct keys, null first)."""
+    keyed = df.withColumns({"_key": key, "_weight": weight}).repartitionByRange("_key")
+    # written, so that every later step sees the same ranges and the input is read once
+    cut = Scratch(df.sparkSession).cut(keyed.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy("_range").agg(F.sum("_weight").alias("_total"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_range").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
     return (
-        cut.join(F.broadcast(offsets), "_range")  # at most ``ranges`` rows
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .drop("_range", "_offset")
+        cut.join(F.broadcast(offsets), "_range")  # one row per range
+        .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        .drop("_range", "_offset", "_key", "_weight")
     )
 
 
-def with_position(df: DataFrame, key: Column, out: str, ranges: int = MAX_RANGES) -> DataFrame:
+def with_position(df: DataFrame, key: Column, out: str) -> DataFrame:
     """Add the 0-based position of each row in ascending key order (distinct keys)."""
-    return with_running_total(df, key, F.lit(1), out, ranges).withColumn(out, F.col(out).cast("long"))
+    return with_running_total(df, key, F.lit(1), out).withColumn(out, F.col(out).cast("long"))
 
 
 def value_ranks(df: DataFrame, value: str, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:

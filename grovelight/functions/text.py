@@ -44,7 +44,8 @@ def category_parts(categories: Column) -> tuple[Column, Column]:
 
 def remove_terms(text: Column, terms: Sequence[str]) -> Column:
     """Delete each term, with its first letter in either case."""
-    pattern = "|".join(f"[{t[0].upper()}{t[0].lower()}]{t[1:]}" for t in terms)
+    quoted = lambda t: r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E"
+    pattern = "|".join(f"(?:{quoted(t[0].upper())}|{quoted(t[0].lower())}){quoted(t[1:]) if t[1:] else ''}" for t in terms)
     return F.regexp_replace(text, pattern, "")
 
 

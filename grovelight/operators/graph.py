@@ -7,6 +7,7 @@ components at least halves per round.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,9 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import Scratch
 
-MAX_ROUNDS = 64
-
-
 @dataclass
 class Forest:
     """``edges``: chosen edges ``(lo, hi, w, round)``; ``members``: ``(node, comp)`` at the end;
@@ -58,7 +56,7 @@ def forest(
     ``(comp, other, w, lo, hi)`` where ``other`` is the component at the far end.
     """
     members = scratch.cut(nodes.select("node", F.col("node").alias("comp")), "members", keep=2)
-    for number in range(MAX_ROUNDS):
+    for number in itertools.count():
         chosen = scratch.cut(lightest(members).withColumn("round", F.lit(number)), "chosen")
         if chosen.isEmpty():
             break

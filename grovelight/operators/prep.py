@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.ordering import with_position
-
-TOP_N_LIMIT = 100_000
-
+from ..sources.scratch import Scratch
 
 def union_splits(*splits: DataFrame) -> DataFrame:
     whole = splits[0]
@@ -77,10 +76,29 @@ def seed_key(seed: int, *ids: str | Column) -> Column:
 
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """At most n rows without replacement, the same for the same seed."""
+    near = below_share(df, seed_key(seed, id_col), n)
     key = F.struct(seed_key(seed, id_col), F.col(id_col))
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(key).limit(n)
-    return with_position(df, key, "_pos").where(F.col("_pos") < n).drop("_pos")
+    return with_position(near, key, "_pos").where(F.col("_pos") < n).drop("_pos")
+
+
+def hashed(*parts: Column) -> Column:
+    """A 60-bit number from the columns' text, the same in every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def below_share(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """Rows whose md5 ``key`` is among the smallest, a little more than ``n`` of them, found without sorting.
+
+    Should the hash leave fewer than ``n``, the share is doubled until it does not, or all rows are in.
+    """
+    rows = df.count()
+    share = (n + 6 * math.sqrt(n) + 20) / max(rows, 1)
+    while share < 1:
+        near = df.where(key < f"{int(share * 16**8):08x}")
+        if near.count() >= n:
+            return near
+        share *= 2
+    return df
 
 
 def full_depth_rows(df: DataFrame, depth: int) -> DataFrame:
@@ -127,29 +145,33 @@ def token_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> Data
     )
 
 
-def flatten_hierarchy(df: DataFrame, json_col: str, max_depth: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Nested objects -> one row per node: its topic, its ancestors and itself as levels.
+def flatten_hierarchy(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Nested objects -> one row per node: ``(*keep, topic, path)``, the path holding its ancestors and itself.
 
-    Each step opens one level of every object in place, so the input is read once.
+    Each step opens one level of what is left, until no object is left, however deep.
     """
-    nodes = df.select(*keep, F.array().cast("array<string>").alias("path"), F.col(json_col).alias("rest"))
-    for _ in range(max_depth):
-        children = F.transform(
-            F.map_entries(F.from_json("rest", "map<string,string>")),
-            lambda e: F.struct(F.concat(F.col("path"), F.array(e["key"])).alias("path"), e["value"].alias("rest")),
-        )
-        itself = F.array(F.struct(F.col("path"), F.lit(None).cast("string").alias("rest")))
-        opened = F.when(F.col("rest").isNull(), itself).otherwise(
-            F.concat(itself, F.coalesce(children, F.array().cast("array<struct<path:array<string>,rest:string>>")))
+    scratch = Scratch(df.sparkSession)
+    level = scratch.cut(df.select(*keep, F.array().cast("array<string>").alias("path"), F.col(json_col).alias("rest")), "roots")
+    while not level.isEmpty():
+        children = F.map_entries(F.from_json("rest", "map<string,string>"))
+        level = scratch.cut(
+            level.select(*keep, "path", F.explode(children).alias("e")).select(
+                *keep, F.concat("path", F.array("e.key")).alias("path"), F.col("e.value").alias("rest")
+            ),
+            "levels",
         )
-        nodes = nodes.select(*keep, F.explode(opened).alias("n")).select(*keep, "n.path", "n.rest")
-    return nodes.where(F.size("path") > 0).select(
-        *keep,
-        F.element_at("path", -1).alias("topic"),
-        *[F.get("path", F.lit(i)).alias(f"category_{i}") for i in range(max_depth)],
+    return scratch.all_of("levels").select(*keep, F.element_at("path", -1).alias("topic"), "path") if scratch.has("levels") else level.select(
+        *keep, F.lit(None).cast("string").alias("topic"), "path"
     )
 
 
+def path_columns(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """``path`` as ``category_0 …``; without ``depth``, as many as the deepest path needs."""
+    if depth is None:
+        depth = nodes.agg(F.max(F.size("path"))).first()[0] or 0
+    return nodes.withColumns({f"category_{i}": F.get("path", F.lit(i)) for i in range(depth)}).drop("path")
+
+
 def add_noise_rows(df: DataFrame, fraction: float, k: int, seed: int) -> DataFrame:
     """Append ``int(fraction * n)`` rows whose topic joins k distinct sampled topics; labels null.
 
@@ -157,11 +179,12 @@ def add_noise_rows(df: DataFrame, fraction: float, k: int, seed: int) -> DataFra
     run round the list, so the k topics differ.
     """
     spark = df.sparkSession
-    topics = with_position(df.select("topic").where("topic IS NOT NULL").distinct(), F.col("topic"), "pos")
+    # in the order of a digest: whole texts are no keys to sort by
+    topics = with_position(df.select("topic").where("topic IS NOT NULL").distinct(), F.struct(F.md5("topic"), F.xxhash64("topic")), "pos")
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("topic").alias("m")).first()
     m = max(sizes["m"], 1)
     take = min(k, m)
-    draw = lambda tag, below: F.pmod(F.xxhash64(F.col("noise"), F.lit(f"{tag}:{seed}")), F.lit(below))
+    draw = lambda tag, below: F.pmod(hashed(F.col("noise"), F.lit(f"{tag}:{seed}")), F.lit(below))
     offsets = [draw("start", m)]
     for i in range(1, take):
         offsets.append(offsets[-1] + 1 + draw(f"gap{i}", max(m // take, 1)))

@@ -165,13 +165,15 @@ def _flatten(s, d):
             F.lit(',"solo":{}}}'),
         ).alias("json"),
     )
-    nested = nested.withColumn("json", F.regexp_replace("json", r'": (\d+)\}', r'$1":{}}'))
-    return prep.flatten_hierarchy(nested, "json", 3, ["event_id"])
+    deep = F.when(F.col("event_id") % 3 == 0, r'$1":{"d":{"e":{}}}}').otherwise(r'$1":{}}')
+    nested = nested.withColumn("json", F.regexp_replace("json", F.lit(r'": (\d+)\}'), deep))
+    flat = prep.path_columns(prep.flatten_hierarchy(nested, "json", ["event_id"]))
+    return flat.select("event_id", "topic", *[f"category_{i}" for i in range(5)])
 
 
 def _noise(s, d):
     return prep.add_noise_rows(corpus(s, d), 0.25, 10, 67).select(
-        F.col("id").isNull().alias("is_noise"), F.length("topic").cast("long").alias("chars"), "category_0"
+        F.col("id").isNull().alias("is_noise"), F.md5("topic").alias("topic_md5"), "category_0"
     )
 
 
@@ -306,10 +308,20 @@ FROM t GROUP BY 1""",
     "P16_remove_terms": "SELECT doc_id, md5(regexp_replace(text, '[Tt]he|[Aa]nd', '', 'g')) AS text_md5 FROM documents",
     "P17_flatten_hierarchy": """WITH e AS (SELECT event_id, event_type AS a, 'u' || CAST(user_id AS VARCHAR) AS b,
   'k' || regexp_extract(props, '(\\d+)', 1) AS c FROM events)
-SELECT event_id, a AS topic, a AS category_0, NULL AS category_1, NULL AS category_2 FROM e
-UNION ALL SELECT event_id, b, a, b, NULL FROM e
-UNION ALL SELECT event_id, 'solo', a, 'solo', NULL FROM e
-UNION ALL SELECT event_id, c, a, b, c FROM e""",
+SELECT event_id, a AS topic, a AS category_0, NULL AS category_1, NULL AS category_2, NULL AS category_3, NULL AS category_4 FROM e
+UNION ALL SELECT event_id, b, a, b, NULL, NULL, NULL FROM e
+UNION ALL SELECT event_id, 'solo', a, 'solo', NULL, NULL, NULL FROM e
+UNION ALL SELECT event_id, c, a, b, c, NULL, NULL FROM e
+UNION ALL SELECT event_id, 'd', a, b, c, 'd', NULL FROM e WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'e', a, b, c, 'd', 'e' FROM e WHERE event_id % 3 = 0""",
+    "P18_add_noise_rows": f"""WITH {CORPUS_CTE}, topics AS (SELECT topic, row_number() OVER (ORDER BY md5(topic)) - 1 AS pos FROM (SELECT DISTINCT topic FROM corpus WHERE topic IS NOT NULL)),
+sizes AS (SELECT count(*) AS n, (SELECT count(*) FROM topics) AS m FROM corpus),
+noise AS (SELECT unnest(range(CAST(floor(0.25 * n) AS BIGINT))) AS noise, m FROM sizes),
+gaps AS (SELECT noise, m, i, CASE WHEN i = 0 THEN CAST('0x' || substr(md5(noise || ':start:67'), 1, 15) AS BIGINT) % m
+  ELSE 1 + CAST('0x' || substr(md5(noise || ':gap' || i || ':67'), 1, 15) AS BIGINT) % greatest(m // 10, 1) END AS step FROM noise, range(10) t(i)),
+picks AS (SELECT noise, i, CAST(sum(step) OVER (PARTITION BY noise ORDER BY i) AS BIGINT) % m AS pos FROM gaps),
+made AS (SELECT noise, string_agg(topic, ', ' ORDER BY i) AS topic FROM picks JOIN topics USING (pos) GROUP BY noise)
+SELECT false AS is_noise, md5(topic) AS topic_md5, category_0 FROM corpus UNION ALL SELECT true, md5(topic), NULL FROM made""",
     "P19_parse_topic_reply": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '|' || lang WHEN 1 THEN lang
   WHEN 2 THEN source || '|' || lang ELSE source END AS topics FROM documents""",
     "P19_parse_synonym_reply": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang || '|x'

@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int = 8, app: str = "grovelight", memory: str = "12g") -> SparkSession:
+def local_session(cpus: int = 8, app: str = "grovelight", memory: str = "12g", folder: str = "/tmp/grovelight-checkpoints") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, app: str = "grovelight", memory: str = "12g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

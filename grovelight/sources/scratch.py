@@ -7,22 +7,36 @@ it broadcasts a side only when that side is really small.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A folder for sessions in one process that name none; set by whoever starts such a session, never on a cluster.
+LOCAL_FOLDER: str | None = None
+_ROOTS: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the master is local."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and all runs in one process, ``LOCAL_FOLDER``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="grovelight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named and LOCAL_FOLDER and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        named = LOCAL_FOLDER
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.rstrip("/")
+
+
+def close(spark: SparkSession) -> None:
+    """Delete what operators of this application have written so far. Their results can't be read afterwards."""
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Scratch:
@@ -31,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/grovelight-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
         self._step = 0
         self._live: dict[str, list[str]] = {}
 
@@ -46,7 +61,7 @@ class Scratch:
         kept = self._live.setdefault(name, [])
         kept.append(path)
         while keep and len(kept) > keep:
-            self._delete(kept.pop(0))
+            _delete(self.spark, kept.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def all_of(self, name: str) -> DataFrame:
@@ -55,7 +70,3 @@ class Scratch:
 
     def has(self, name: str) -> bool:
         return bool(self._live.get(name))
-
-    def _delete(self, path: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
