@@ -123,5 +123,5 @@ def is_contaminated() -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns. Rows of one id and one text go together."""
     bad = contaminated_words(docs, benchmark, size).where(is_contaminated())
-    gone = bad.select(F.col("doc_id").alias("g_id"), row_key("text").alias("g_version")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (row_key("text") == F.col("g_version")), "left_anti")
+    gone = bad.select(F.col("doc_id").alias("_g_id"), row_key("text").alias("_g_version")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (row_key("text") == F.col("_g_version")), "left_anti")

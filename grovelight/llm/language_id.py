@@ -138,6 +138,6 @@ def identify_held_out(docs: DataFrame, folds: int = 3, fold: int = 1, **settings
 def in_known_language(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     found = identify_held_out(docs, **settings).where(~F.col("rejected"))
-    kept = found.select(F.col("doc_id").alias("k_id"), F.col("version").alias("k_version")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_version"))
+    kept = found.select(F.col("doc_id").alias("_k_id"), F.col("version").alias("_k_version")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.xxhash64("text") == F.col("_k_version"))
     return docs.join(kept, on, "left_semi")

@@ -175,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, ties to the smaller vec_id.
 
     Vectors are indexed under the pair of their halves' nearest centroids. A query takes pairs in the order of their summed inner
-    products from a heap until they hold ``visit`` of all distinct vectors; everything in these pairs is scored exactly. Copies
+    products from a heap until they hold ``visit`` of all distinct vectors and more than ``k`` of them; everything in these pairs is scored exactly. Copies
     count once towards ``visit``, so a hot vector does not end the walk. Nothing is left out of a visited pair: pairs
     are dealt to shards and blocks of bounded size, each block returns its best, and the best of those are kept.
 
@@ -199,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
     blocks = coded.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()  # one row a shard
     of_shard = F.element_at(F.create_map(*[F.lit(x) for b in blocks for x in (b["shard"], b["blocks"])]), F.col("shard"))
     runs = max(1, -(-n_queries // BLOCK))
-    plans = _plans(asked, books, held, visit * held.sum()).where(of_shard.isNotNull())
+    plans = _plans(asked, books, held, max(visit * held.sum(), k + 1)).where(of_shard.isNotNull())
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     hashed = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
     left = plans.withColumn("block", each(of_shard)).withColumn("run", hashed(F.lit(runs))).select(

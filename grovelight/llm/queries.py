@@ -42,7 +42,7 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    found = substrings.without_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -172,3 +172,68 @@ counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted USING (doc_id)""",
 }
+
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """The sentence table and one step per rule, spelled out."""
+    known = ", ".join(f"({_QUOTED(text)}, {_QUOTED(name)})" for name, text in licences.SENTENCES)
+    steps, last = [], "r0"
+    for i, (licence, ids) in enumerate(licences.RULES, 1):
+        text, gone = "".join(f" {x} " for x in ids), "".join(f" {'#' * len(x)} " for x in ids)
+        steps.append(
+            f"""r{i} AS (SELECT doc_id, known, CASE WHEN instr(rest, '{text}') > 0 THEN list_append(matched, {{'spot': instr(rest, '{text}'), 'licence': '{licence}'}}) ELSE matched END AS matched,
+  replace(rest, '{text}', '{gone}') AS rest FROM {last})"""
+        )
+        last = f"r{i}"
+    return f"""
+WITH known(text, name) AS (VALUES {known}),
+cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;:]+([\\x20\\x09-\\x0D]|$)', chr(10), 'g'), '[\\x0A-\\x0D]+') AS pieces FROM documents),
+pieces AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS spot FROM cut),
+named AS (SELECT p.doc_id, p.spot, k.name FROM pieces p JOIN known k ON k.text =
+  trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))),
+r0 AS (SELECT doc_id, string_agg(name, ',' ORDER BY spot) AS known, CAST([] AS STRUCT(spot BIGINT, licence VARCHAR)[]) AS matched,
+  ' ' || string_agg(name || ' ', ' ' ORDER BY spot) AS rest FROM named GROUP BY doc_id),
+{", ".join(steps)},
+firsts AS (SELECT doc_id, m.licence, min(m.spot) AS spot FROM (SELECT doc_id, unnest(matched) AS m FROM {last}) GROUP BY ALL),
+found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY spot, licence) AS licences FROM firsts GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM pieces WHERE regexp_matches(piece, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]') GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(known, '') AS known, coalesce(licences, '') AS licences,
+  coalesce(array_to_string(list_filter(string_split(rest, ' '), lambda t: t <> '' AND NOT starts_with(t, '#')), ','), '') AS leftover
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN {last} USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    """The rules longest first, and the two walks as one recursive table of rounds."""
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]))
+    fits = lambda r: f"WHEN (host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    rule = "CASE " + " ".join(f"{fits(r)} THEN '{r[1]}{r[2]}'" for r in ordered) + " END"
+    verdict = "CASE " + " ".join(f"{fits(r)} THEN '{r[0]}'" for r in ordered) + " END"
+    link = urls.LINK.replace("\\\\", "\\").replace("'", "''")
+    return f"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), ruled AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM parts),
+seeds AS (SELECT host, CAST(count(*) FILTER (by_rule = 'allow') AS DOUBLE) AS trusted, CAST(count(*) FILTER (by_rule = 'block') AS DOUBLE) AS blocked FROM ruled WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS dst FROM parts WHERE contains(html, '//')),
+edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM links) WHERE src <> '' AND src <> dst GROUP BY 1, 2),
+directed AS (SELECT 0 AS walk, src AS a, dst AS b, n FROM edges UNION ALL SELECT 1, dst, src, n FROM edges),
+arcs AS MATERIALIZED (SELECT walk, a, b, n / sum(n) OVER (PARTITION BY walk, a) AS share FROM directed),
+hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+weights AS (SELECT walk, host, coalesce(CASE walk WHEN 0 THEN trusted ELSE blocked END, 0) AS w FROM hosts LEFT JOIN seeds USING (host), range(2) t(walk)),
+restart AS MATERIALIZED (SELECT walk, host, CASE WHEN sum(w) OVER (PARTITION BY walk) > 0 THEN w / sum(w) OVER (PARTITION BY walk) ELSE 0 END AS restart FROM weights),
+walks AS (
+  SELECT 0 AS round, walk, host, restart AS score FROM restart
+  UNION ALL
+  SELECT round, walk, host, 0.85 * moved + restart * (sum(restart) OVER (PARTITION BY walk) - 0.85 * sum(moved) OVER (PARTITION BY walk)) FROM (
+    SELECT max(m.round) + 1 AS round, r.walk, r.host, any_value(r.restart) AS restart, coalesce(sum(m.score * arcs.share) FILTER (arcs.b = r.host), 0) AS moved
+    FROM walks m JOIN restart r ON r.walk = m.walk LEFT JOIN arcs ON arcs.walk = m.walk AND arcs.a = m.host AND arcs.b = r.host
+    WHERE m.round < 60 AND EXISTS (SELECT 1 FROM arcs) GROUP BY r.walk, r.host)
+), last AS (SELECT host, sum(score) FILTER (walk = 0) AS trust, sum(score) FILTER (walk = 1) AS distrust FROM walks WHERE round = (SELECT max(round) FROM walks) GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN last USING (host)"""
+
+
+SQL |= {"op3_url_filter": _url_sql(), "op10_licence_scan": _licence_sql()}

@@ -48,13 +48,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, settled: float = 1e-10, place=None
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 60, settled: float = 1e-6, place=None
 ) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted hosts along links, from blocked hosts against them.
 
     ``edges`` is (src, dst, n), ``seeds`` is (host, trusted, blocked) with weights that need not sum to 1. Both walks
     restart at their seeds with probability 1 - ``damping``; what reaches a host without links restarts too.
-    Mass left unsettled after ``rounds`` is below damping ** rounds. One round is one join and one sum on the edges,
+    Rounds end when no score changes by ``settled``; what is unsettled after ``rounds`` is below damping ** rounds. One round is one join and one sum on the edges,
     written to the shared folder; hosts stay distributed and only one number per walk comes to the driver.
     """
     place = place or scratch(edges.sparkSession)
@@ -115,7 +115,7 @@ def _side_by_side(score: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = 0.5, rounds: int = 60) -> DataFrame:
     """Per page: page_id, url, host, path, rule, verdict, trust, distrust.
 
     The longest fitting rule decides. Other pages follow their host: it is blocked where distrust makes up more than
@@ -135,7 +135,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: fl
     )
     seeds = place.cut(seeds, "seeds")
     edges = place.cut(host_edges(base.where("contains(html, '//')")), "edges")
-    hosts = place.cut(propagate(edges, seeds, place=place), "hosts")
+    hosts = place.cut(propagate(edges, seeds, rounds=rounds, place=place), "hosts")
     doubtful = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     opinion = salted(hosts.select(F.col("host").alias("o_host"), "trust", "distrust", doubtful.alias("doubtful")), SALTS, "o_salt")
     return (
