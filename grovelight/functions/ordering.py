@@ -52,3 +52,22 @@ def value_ranks(df: DataFrame, value: str, weight: Column | None = None, by: Seq
         starts = placed.groupBy(*by).agg(F.min("_before").alias("_start"))
         placed = placed.join(starts, by).withColumn("_before", F.col("_before") - F.col("_start"))
     return placed.select(*by, value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def with_value_rank(df: DataFrame, value: str, out: str, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Add each row's tie-averaged ascending rank within its group; ``weight`` counts a row several times.
+
+    Equal values never lie in two ranges, so ties are averaged where they are and nothing is joined back but one number per
+    range and group.
+    """
+    by = list(by)
+    keyed = df.withColumn("_weight", (weight if weight is not None else F.lit(1)).cast("double")).repartitionByRange(*by, value)
+    cut = Scratch(df.sparkSession).cut(keyed.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy(*by, "_range").agg(F.sum("_weight").alias("_total"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_offset"))
+    upto = W.partitionBy("_range", *by).orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = F.sum("_weight").over(W.partitionBy("_range", *by, value))
+    placed = cut.join(F.broadcast(offsets), ["_range", *by])  # one row per range and group
+    rank = F.col("_offset") + F.sum("_weight").over(upto) - tied + (tied + 1) / 2
+    return placed.withColumn(out, rank).drop("_range", "_offset", "_weight")

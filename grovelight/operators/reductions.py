@@ -15,10 +15,10 @@ from ..functions.numeric import l2_normalize, square_distance
 from ..functions.ordering import with_position
 from ..session import ship_package
 from ..sources.scratch import Scratch
+from .prep import hashed
 from .tiles import knn_graph
 
 HALVINGS = 64
-MAX_LANDMARKS = 500
 
 
 def embed_text(
@@ -32,7 +32,7 @@ def embed_text(
         ship_package(df.sparkSession)
         vectors = texts.mapInPandas(batch_function, "id long, vec array<double>")
     else:
-        words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+").transform(texts)
+        words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\W+").transform(texts)
         counts = HashingTF(inputCol="words", outputCol="tf", numFeatures=dim).transform(words)
         weighted = IDF(inputCol="tf", outputCol="v").fit(counts).transform(counts)
         vectors = weighted.select("id", vector_to_array("v").alias("vec"))
@@ -164,11 +164,9 @@ def diffusion_potential(points: DataFrame, operator: DataFrame, t: int = 5, land
     """Coordinates that keep potential distances of ``t`` random-walk steps.
 
     Points walk to landmarks (cluster centres) and landmarks among themselves. Only the landmark
-    table, at most ``MAX_LANDMARKS`` squared cells, is scaled on the driver; points get the mean
-    position of the landmarks they walk to.
+    table, ``landmarks`` squared cells whatever the number of points, is scaled on the driver; points get
+    the mean position of the landmarks they walk to.
     """
-    if landmarks > MAX_LANDMARKS:
-        raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
     scratch = Scratch(points.sparkSession)
     data = points.select("id", array_to_vector("vec").alias("features"))
     home = scratch.cut(KMeans(k=landmarks, seed=seed, maxIter=10).fit(data).transform(data).select("id", F.col("prediction").alias("c")), "home")
@@ -193,32 +191,38 @@ def diffusion_potential(points: DataFrame, operator: DataFrame, t: int = 5, land
     top = np.argsort(values)[::-1][:k]
     places = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
     marks = points.sparkSession.createDataFrame([(c, [float(x) for x in places[c]]) for c in range(landmarks)], "c int, y array<double>")
-    mixed = to_mark.join(F.broadcast(marks), "c").select("i", "w", F.posexplode("y").alias("axis", "y"))  # MAX_LANDMARKS rows
+    mixed = to_mark.join(F.broadcast(marks), "c").select("i", "w", F.posexplode("y").alias("axis", "y"))  # one row per landmark
     axes = mixed.groupBy("i").pivot("axis", list(range(k))).agg(F.sum(F.col("w") * F.col("y")))
     return axes.select(F.col("i").alias("id"), F.array(*[F.col(str(a)) for a in range(k)]).alias("vec"))
 
 
 def _draws(rows: DataFrame, keys: list[str], n: int, count: int, seed: int, tag: str) -> DataFrame:
-    """``count`` pseudo-random positions per row, repeatable: adds ``nth`` and ``pos``."""
-    return rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(
-        "pos", F.pmod(F.xxhash64(*keys, "nth", F.lit(f"{tag}:{seed}")), F.lit(n))
+    """``min(count, n)`` different pseudo-random positions below ``n`` per row, repeatable: adds ``nth`` and ``pos``.
+
+    A row's positions start anywhere and go on in steps of a prime that does not divide ``n``, so none comes twice.
+    """
+    step = next(p for p in (1_000_003, 998_244_353, 2_147_483_647) if n % p)
+    start = F.pmod(hashed(*[F.col(k) for k in keys], F.lit(f"{tag}:{seed}")), F.lit(max(n, 1)))
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1)))).withColumn(
+        "pos", F.pmod(start + F.col("nth") * F.lit(step), F.lit(max(n, 1))).cast("long")
     )
 
 
 def _local_scale(near: DataFrame) -> DataFrame:
-    """Mean distance to the 4th to 6th neighbour."""
-    return near.where("rank BETWEEN 4 AND 6").groupBy("i").agg(F.avg("d").alias("sigma"))
+    """Mean distance to the 4th to 6th neighbour; tiny rather than zero where those are copies."""
+    return near.where("rank BETWEEN 4 AND 6").groupBy("i").agg(F.greatest(F.avg("d"), F.lit(1e-10)).alias("sigma"))
+
 
+def _far_points(points: DataFrame, anchors: DataFrame, keys: list[str], near: DataFrame, k: int, count: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``count`` sampled points per anchor row that are neither the anchor nor its (at most ``k``) neighbours.
 
-def _far_points(points: DataFrame, anchors: DataFrame, keys: list[str], near: DataFrame, count: int, seed: int, scratch: Scratch) -> DataFrame:
-    """``count`` sampled points per anchor row that are neither the anchor nor its neighbours. Draws
-    that hit a neighbour are replaced by spare draws."""
+    As many spare positions are drawn as can be taken away, so there are fewer only where fewer exist."""
     places = scratch.cut(with_position(points.select("id"), F.col("id"), "pos"), "places")
     n = places.count()
-    drawn = _draws(anchors, keys, n, 2 * count + 4, seed, "far").join(places, "pos").withColumnRenamed("id", "far")
+    drawn = _draws(anchors, keys, n, count + k + 1, seed, "far").join(places, "pos").withColumnRenamed("id", "far")
     clean = drawn.where("far <> i").join(near.select("i", F.col("j").alias("far")), ["i", "far"], "left_anti")
     order = W.partitionBy(*keys).orderBy("nth")
-    return clean.dropDuplicates([*keys, "far"]).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).drop("_r", "nth", "pos")
+    return clean.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).drop("_r", "nth", "pos")
 
 
 def _with_distance(pairs: DataFrame, points: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -232,9 +236,9 @@ def mine_triplets(points: DataFrame, n_in: int = 12, n_out: int = 4, n_rand: int
     scratch = Scratch(points.sparkSession)
     near = scratch.cut(knn_graph(points, max(n_in, 6)), "near")
     inner = near.where(F.col("rank") <= n_in).select("i", "j", "d")
-    mined = _far_points(points, inner, ["i", "j"], near, n_out, seed, scratch)
+    mined = _far_points(points, inner, ["i", "j"], near, max(n_in, 6), n_out, seed, scratch)
     anchors = points.select(F.col("id").alias("i"))
-    loose = _far_points(points, anchors, ["i"], near, 2 * n_rand, seed + 1, scratch)
+    loose = _far_points(points, anchors, ["i"], near, max(n_in, 6), 2 * n_rand, seed + 1, scratch)
     order = W.partitionBy("i").orderBy("far")
     halves = loose.withColumn("_r", F.row_number().over(order) - 1).withColumn("_t", (F.col("_r") / 2).cast("int"))
     paired = _with_distance(halves, points, "i", "far", "d").groupBy("i", "_t").agg(
@@ -264,11 +268,13 @@ def mine_pairs(points: DataFrame, n_near: int = 10, n_mid: int = 5, n_far: int =
     close = scratch.cut(scaled.withColumn("_r", F.row_number().over(by_scale)).where(F.col("_r") <= n_near).select("i", "j"), "close")
     anchors = points.select(F.col("id").alias("i"))
     places = scratch.cut(with_position(points.select("id"), F.col("id"), "pos"), "places")
-    tries = _draws(anchors, ["i"], places.count(), 6 * n_mid, seed, "mid").join(places, "pos").withColumnRenamed("id", "j").where("i <> j")
-    tried = _with_distance(tries.withColumn("round", (F.col("nth") / 6).cast("int")), points, "i", "j", "d").dropDuplicates(["i", "round", "j"])
+    tries = _draws(anchors, ["i"], places.count(), 6 * n_mid + 1, seed, "mid").join(places, "pos").withColumnRenamed("id", "j").where("i <> j")
+    turn = F.row_number().over(W.partitionBy("i").orderBy("nth")) - 1  # the row itself may be among the tries
+    tries = tries.withColumn("round", (turn / 6).cast("int")).where(F.col("round") < n_mid)
+    tried = _with_distance(tries, points, "i", "j", "d")
     second = W.partitionBy("i", "round").orderBy("d", "j")
     mid = tried.withColumn("_r", F.row_number().over(second)).where("_r = 2").select("i", "j")
-    far = _far_points(points, anchors, ["i"], close, n_far, seed, scratch).select("i", F.col("far").alias("j"))
+    far = _far_points(points, anchors, ["i"], close, n_near, n_far, seed, scratch).select("i", F.col("far").alias("j"))
     kinds = {"near": close, "mid": mid, "far": far}
     tables = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
     return tables[0].unionByName(tables[1]).unionByName(tables[2])

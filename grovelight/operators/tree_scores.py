@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordering import with_position, with_running_total
 from ..sources.scratch import Scratch
+from .prep import hashed
 from .trees import Indexed, ancestors, count_below, index_tree, lca, meeting_nodes
 
 
 def _choose2(n):
-    return (n * (n - 1) / 2).cast("double")
+    return n.cast("double") * (n - 1).cast("double") / 2
 
 
 def sample_class_pairs(labels: DataFrame, m: int, seed: int) -> DataFrame:
@@ -21,16 +22,19 @@ def sample_class_pairs(labels: DataFrame, m: int, seed: int) -> DataFrame:
     spark = labels.sparkSession
     scratch = Scratch(spark)
     known = scratch.cut(labels.where("label IS NOT NULL").select("id", "label"), "known")
+    # pairs are counted in whole numbers wider than 64 bits: n * (n - 1) of a large class needs them
+    pairs_of = F.expr("CAST(CAST(n AS DECIMAL(19, 0)) * CAST(n - 1 AS DECIMAL(19, 0)) / 2 AS DECIMAL(28, 0))")
     sizes = scratch.cut(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     weighed = scratch.cut(
-        with_running_total(sizes, F.col("label"), (F.col("n") * (F.col("n") - 1) / 2).cast("long"), "start"), "weighed"
+        with_running_total(sizes, F.col("label"), pairs_of, "start"), "weighed"
     )
-    total = sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("t"))
-    draw = lambda tag: F.pmod(F.xxhash64(F.col("pair"), F.lit(f"{tag}:{seed}")), F.lit(1 << 62))
+    total = sizes.agg(F.sum(pairs_of).alias("t"))
+    draw = lambda tag: hashed(F.col("pair"), F.lit(f"{tag}:{seed}"))
+    share = draw("class").cast("decimal(19,0)") / F.lit(1 << 60).cast("decimal(19,0)")
     picks = spark.range(m).withColumnRenamed("id", "pair").withColumn("_total", total.scalar()).where("_total > 0")
-    picks = picks.select("pair", (draw("class") % F.col("_total")).alias("u"), draw("a").alias("ra"), draw("b").alias("rb"))
+    picks = picks.select("pair", F.floor(F.col("_total") * share).cast("decimal(38,0)").alias("u"), draw("a").alias("ra"), draw("b").alias("rb"))
     # the class of a draw: the last class that starts at or before it, by one shared order
-    marks = weighed.select(F.col("start").alias("u"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pair"), F.lit(1).alias("w"))
+    marks = weighed.select(F.col("start").cast("decimal(38,0)").alias("u"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pair"), F.lit(1).alias("w"))
     spots = marks.unionByName(picks.select("u", F.lit(1).alias("kind"), "pair", F.lit(0).alias("w")))
     which = with_running_total(spots, F.struct("u", "kind", "pair"), F.col("w"), "c").where("kind = 1").select("pair", (F.col("c") - 1).alias("cls"))
     classes = with_position(weighed, F.col("start"), "cls")

@@ -127,14 +127,27 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 def leaves_under(tree: DataFrame) -> DataFrame:
     """``(node, leaf)`` for every node and every leaf below it (a leaf is below itself)."""
-    up = ancestors(tree)
-    leaves = tree.where("is_leaf").select("node")
-    return up.join(leaves, "node", "left_semi").select(F.col("anc").alias("node"), F.col("node").alias("leaf"))
+    index = index_tree(tree)
+    at = index.nodes.select("node", F.explode(F.sequence("lo", "hi")).alias("at"))
+    return at.join(index.nodes.where("is_leaf").select(F.col("lo").alias("at"), F.col("node").alias("leaf")), "at").select("node", "leaf")
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """``(node, depth)``: steps to the root, by doubling pointers that carry how far they reach."""
+    scratch = Scratch(tree.sparkSession)
+    state = scratch.cut(tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "depths", keep=2)
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        state = scratch.cut(
+            state.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")),
+            "depths", keep=2,
+        )
+    return state.select("node", "depth")
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:
     """Per depth: nodes, and mean, least and most children; leaves below the root do not count."""
-    up = ancestors(tree).groupBy("node").agg(F.max("steps").alias("depth"))
+    up = depths(tree)
     kids = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
     counted = up.join(kids, "node", "left").where("depth = 0 OR kids IS NOT NULL").withColumn("kids", F.coalesce("kids", F.lit(0)))
     return counted.groupBy("depth").agg(
@@ -315,25 +328,23 @@ def cut_by_size(tree: DataFrame, levels: DataFrame, index: Indexed | None = None
 def clade_difference(tree_a: DataFrame, tree_b: DataFrame) -> DataFrame:
     """Leaf sets that only one of the two trees has: ``(only_a, only_b, difference)``.
 
-    A leaf set is known by its size and two sums of leaf hashes, taken from running totals.
+    A leaf set is known by its size and four sums of 60-bit leaf hashes, taken from running totals in decimals that can't overflow.
     """
+    names = ["h1", "h2", "h3", "h4"]
 
     def clades(tree: DataFrame) -> DataFrame:
         index = index_tree(tree)
-        hashes = [F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 31)) for seed in ("a", "b")]
-        leaves = index.nodes.where("is_leaf").select("node", "lo", hashes[0].alias("h1"), hashes[1].alias("h2"))
-        sums = leaves
-        for h in ("h1", "h2"):
-            sums = with_running_total(sums, F.col("lo"), F.col(h), f"{h}_before")
-        sums = index.scratch.cut(sums.select("lo", "h1", "h2", "h1_before", "h2_before"), "sums")
+        hashes = [F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 60)).cast("decimal(38,0)").alias(seed) for seed in names]
+        leaves = index.nodes.where("is_leaf").select("node", "lo", *hashes)
+        sums = index.scratch.cut(leaves, "hashes")
+        for h in names:
+            sums = index.scratch.cut(with_running_total(sums, F.col("lo"), F.col(h), f"{h}_before"), "sums")
         inner = index.nodes.where("NOT is_leaf").select("lo", "hi", "size")
-        start = sums.select("lo", F.col("h1_before").alias("s1"), F.col("h2_before").alias("s2"))
-        end = sums.select(F.col("lo").alias("hi"), (F.col("h1_before") + F.col("h1")).alias("e1"), (F.col("h2_before") + F.col("h2")).alias("e2"))
-        return inner.join(start, "lo").join(end, "hi").select(
-            "size", (F.col("e1") - F.col("s1")).alias("f1"), (F.col("e2") - F.col("s2")).alias("f2")
-        ).distinct()
+        start = sums.select("lo", *[F.col(f"{h}_before").alias(f"s_{h}") for h in names])
+        end = sums.select(F.col("lo").alias("hi"), *[(F.col(f"{h}_before") + F.col(h)).alias(f"e_{h}") for h in names])
+        return inner.join(start, "lo").join(end, "hi").select("size", *[(F.col(f"e_{h}") - F.col(f"s_{h}")).alias(h) for h in names]).distinct()
 
-    key = ["size", "f1", "f2"]
+    key = ["size", *names]
     joined = clades(tree_a).withColumn("a", F.lit(1)).join(clades(tree_b).withColumn("b", F.lit(1)), key, "full_outer")
     return joined.agg(
         F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b")

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import flat_scores as fs, trees as tr, tree_scores as ts
-from ..operators.prep import closest_level, levels_for
+from ..operators.prep import levels_for
 
 
 def flat_level_scores(merges: DataFrame, labels: DataFrame, depth: int, by_size: bool = False, index: tr.Indexed | None = None) -> DataFrame:
-    """Cut the tree once per label level and score all cuts together: ``(level, fm, rand, ari, ami)``."""
+    """Cut the tree once per label level and score all cuts together: ``(level_idx, level, fm, rand, ari, ami)``.
+
+    ``level`` is the number of clusters asked for; label levels with the same number stay apart by ``level_idx``.
+    """
     index = index or tr.index_tree(tr.tree_from_merges(merges))
-    available = levels_for(labels, depth).select("n_clusters", "level_idx")
-    asked = available.select(F.col("n_clusters").alias("k")).distinct()
+    levels = levels_for(labels, depth).select("level_idx", F.col("n_clusters").alias("k"))
+    asked = levels.select("k").distinct()
     cuts = tr.cut_by_size(index.nodes, asked, index) if by_size else tr.cut_by_height(merges, asked, index)
-    match = closest_level(asked, available).select("k", "level_idx")
     long = labels.unpivot(["id"], [f"category_{i}" for i in range(depth)], "category", "target").select(
         "id", F.regexp_extract("category", r"(\d+)$", 1).cast("int").alias("level_idx"), "target"
     )
-    target = long.join(F.broadcast(match), "level_idx").select("k", "id", "target")  # one row per label level
+    target = long.join(F.broadcast(levels), "level_idx")  # one row per label level
     pred = cuts.select("k", "id", F.col("cluster").alias("pred"))
     paired = index.scratch.cut(fs.aligned_labels(target, pred, on=("k", "id")), "paired")
-    return fs.flat_scores(paired, ["k"]).withColumnRenamed("k", "level")
+    return fs.flat_scores(paired, ["level_idx", "k"]).withColumnRenamed("k", "level")
 
 
 def score_levels(
@@ -32,15 +34,13 @@ def score_levels(
     index = tr.index_tree(tree)
     truth = index.scratch.cut(tr.ground_truth_tree(labels, depth), "truth")
     flat = index.scratch.cut(flat_level_scores(merges, labels, depth, by_size, index), "flat")
-    match = closest_level(flat.select(F.col("level").alias("k")), levels_for(labels, depth).select("n_clusters", "level_idx"))
     whole = None
     for number in range(depth):
         one = labels.select("id", F.col(f"category_{number}").alias("label"))
         row = ts.dendrogram_purity(tree, one, index).withColumn("lca_f1", ts.lca_f1(tree, truth, one, index).scalar())
         row = row.withColumn("level_idx", F.lit(number))
         whole = row if whole is None else whole.unionByName(row)
-    keyed = match.select(F.col("k").alias("level"), "level_idx")
-    return flat.join(keyed, "level").join(whole, "level_idx").select(
+    return flat.join(whole, "level_idx").select(
         F.lit(model).alias("embedding_model"), F.lit(reduction).alias("reduction_method"), F.lit(clusterer).alias("cluster_method"),
-        "level", "fm", "rand", "ari", "ami", "dendrogram_purity", "lca_f1",
+        "level_idx", "level", "fm", "rand", "ari", "ami", "dendrogram_purity", "lca_f1",
     )

@@ -78,7 +78,7 @@ def _log(s, d):
     ids = data.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"))
     top = data.agg(F.max("id")).first()[0]
     log = c.merge_log(c.merge_close(data, 1.15), ids, top + 1)
-    return log.select("a", "b", "new_id", F.round("d", 6).alias("d"))
+    return log.select("a", "b", "new_id", F.round("d", 6).alias("d"), "size")
 
 
 def _components(s, d):
@@ -109,7 +109,7 @@ QUERIES = {
     "T6_diffusion_step": _step,
     "T7_merge_close": lambda s, d: c.merge_close(points(s, d), 1.15).select("j", "i", F.round("d", 6).alias("d")),
     "T8_merge_log": _log,
-    "T9_diffusion_condensation": lambda s, d: _merges(c.diffusion_condensation(points(s, d), max_iterations=40)),
+    "T9_diffusion_condensation": lambda s, d: _merges(c.diffusion_condensation(points(s, d))),
     "T10_tree_from_merges": lambda s, d: tr.tree_from_merges(_comb(s, d)),
     "T11_cut_by_height": lambda s, d: _cluster_sizes(tr.cut_by_height(_comb(s, d), _levels(s, (2, 10)))),
     "T12_cut_by_size": lambda s, d: _cluster_sizes(tr.cut_by_size(tr.tree_from_merges(_comb(s, d)), _levels(s, (2, 10)))),
@@ -178,11 +178,15 @@ SQL = {
     "T6_diffusion_step": f"""WITH {_OPERATOR}, x AS (SELECT id, unnest(range(len(vec))) AS pos, unnest(vec) AS x FROM points)
 SELECT i AS id, pos, round(sum(w * x), 6) AS x FROM op JOIN x ON x.id = op.j GROUP BY 1, 2""",
     "T7_merge_close": f"WITH {_CLOSE} SELECT j, i, round(d, 6) AS d FROM close",
-    "T8_merge_log": f"""WITH {_CLOSE}, named AS (
+    "T8_merge_log": f"""WITH RECURSIVE {_CLOSE}, named AS (
   SELECT j, i, d, (SELECT max(id) FROM points) + row_number() OVER (ORDER BY j DESC) AS new_id FROM close),
 lagged AS (SELECT *, lag(new_id) OVER (PARTITION BY i ORDER BY j DESC) AS prev FROM named),
-last AS (SELECT i AS row, max(new_id) AS last_id FROM named GROUP BY 1)
-SELECT coalesce(last_id, j) AS a, coalesce(prev, i) AS b, new_id, round(d, 6) AS d FROM lagged LEFT JOIN last ON last.row = lagged.j""",
+last AS (SELECT i AS row, max(new_id) AS last_id FROM named GROUP BY 1),
+links AS (SELECT new_id, coalesce(last_id, j) AS a, coalesce(prev, i) AS b, d FROM lagged LEFT JOIN last ON last.row = lagged.j),
+below AS (SELECT new_id, a AS node FROM links UNION ALL SELECT new_id, b FROM links
+  UNION ALL SELECT below.new_id, unnest([l.a, l.b]) FROM below JOIN links l ON l.new_id = below.node),
+sizes AS (SELECT new_id, count(*) FILTER (node <= (SELECT max(id) FROM points)) AS size FROM below GROUP BY 1)
+SELECT a, b, new_id, round(d, 6) AS d, size FROM links JOIN sizes USING (new_id)""",
     "T10_tree_from_merges": """WITH n AS (SELECT count(*) AS n FROM customer)
 SELECT c_custkey AS node, n + greatest(c_custkey, 1) - 1 AS parent, CAST(1 AS BIGINT) AS size, true AS is_leaf FROM customer, n
 UNION ALL SELECT n + c_custkey - 1, CASE WHEN c_custkey < n - 1 THEN n + c_custkey END, c_custkey + 1, false FROM customer, n WHERE c_custkey > 0""",

@@ -38,7 +38,7 @@ def _potential(s, d):
 
 def _layout(s, d):
     data = points(s, d)
-    return _coordinates(rd.graph_layout(rd.fuzzy_knn_graph(data, 10), rd.pca(data, 2), epochs=5))
+    return _coordinates(rd.graph_layout(rd.fuzzy_knn_graph(data, 10), rd.pca(data, 2)))
 
 
 def _table(s, d):
@@ -48,7 +48,7 @@ def _table(s, d):
 
 def _described(s, d):
     df = describe_clusters(corpus(s, d).select(F.col("category_1").alias("cluster"), F.col("topic").alias("text")), 5)
-    return df.select("cluster", F.col("rank").cast("long").alias("rank"), F.round("weight", 6).alias("weight"))
+    return df.select("cluster", F.col("rank").cast("long").alias("rank"), "term", F.round("weight", 6).alias("weight"))
 
 
 QUERIES = {
@@ -57,7 +57,7 @@ QUERIES = {
     "V3_pairwise_distance": _pairs,
     "V4_knn_graph": lambda s, d: _knn(s, d, False),
     "V4_knn_graph_self": lambda s, d: _knn(s, d, True),
-    "V5_knn_graph_approx": lambda s, d: rd.knn_graph_approx(points(s, d), 10, projections=2, window=128),
+    "V5_knn_graph_approx": lambda s, d: rd.knn_graph_approx(points(s, d), 10),
     "V6_pca": lambda s, d: _coordinates(rd.pca(points(s, d), 2)),
     "V7_fuzzy_knn_graph": lambda s, d: rd.fuzzy_knn_graph(points(s, d), 10),
     "V8_perplexity_affinities": lambda s, d: rd.perplexity_affinities(points(s, d), 30),
@@ -92,8 +92,8 @@ SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM k""",
 c AS (SELECT cluster, term, count(*) AS tf FROM w GROUP BY 1, 2),
 o AS (SELECT term, sum(tf) AS all_tf FROM c GROUP BY 1), z AS (SELECT cluster, sum(tf) AS terms FROM c GROUP BY 1),
 x AS (SELECT cluster, term, round(tf / terms * ln(1 + (SELECT avg(terms) FROM z) / all_tf), 9) AS weight FROM c JOIN o USING (term) JOIN z USING (cluster))
-SELECT cluster, rank, round(weight, 6) AS weight FROM (
-  SELECT cluster, weight, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM x) WHERE rank <= 5""",
+SELECT cluster, rank, term, round(weight, 6) AS weight FROM (
+  SELECT cluster, term, weight, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM x) WHERE rank <= 5""",
     "V14_reductions_table": """SELECT 'Raw' AS method, vec_id AS id, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[2] AS DOUBLE), 6) AS second FROM embeddings
 UNION ALL SELECT 'First', vec_id, 2, round(CAST(embedding[2] AS DOUBLE), 6) FROM embeddings""",
 }

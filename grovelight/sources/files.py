@@ -6,21 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-SCORE_SCHEMA = T.StructType(
-    [
-        T.StructField("embedding_model", T.StringType()),
-        T.StructField("reduction_method", T.StringType()),
-        T.StructField("cluster_method", T.StringType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("fm", T.DoubleType()),
-        T.StructField("rand", T.DoubleType()),
-        T.StructField("ari", T.DoubleType()),
-        T.StructField("ami", T.DoubleType()),
-        T.StructField("dendrogram_purity", T.DoubleType()),
-        T.StructField("lca_f1", T.DoubleType()),
-    ]
-)
-
 
 def read_corpus_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Header CSV whose quoted texts may hold line breaks and doubled quotes."""

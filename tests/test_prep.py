@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from grovelight.functions import text as tx
@@ -11,8 +12,27 @@ def test_drop_all_copies(spark):
 
 def test_flatten_hierarchy(spark):
     df = spark.createDataFrame([('{"A":{"B":{},"C":{"D":{}}}}',)], "json string")
-    rows = {r["topic"]: (r["category_0"], r["category_1"], r["category_2"]) for r in prep.flatten_hierarchy(df, "json", 3).collect()}
-    assert rows == {"A": ("A", None, None), "B": ("A", "B", None), "C": ("A", "C", None), "D": ("A", "C", "D")}
+    nodes = prep.flatten_hierarchy(df, "json")
+    assert {r["topic"]: r["path"] for r in nodes.collect()} == {"A": ["A"], "B": ["A", "B"], "C": ["A", "C"], "D": ["A", "C", "D"]}
+    wide = {r["topic"]: (r["category_0"], r["category_1"], r["category_2"]) for r in prep.path_columns(nodes).collect()}
+    assert wide == {"A": ("A", None, None), "B": ("A", "B", None), "C": ("A", "C", None), "D": ("A", "C", "D")}
+
+
+def test_no_depth_is_too_deep(spark):
+    df = spark.createDataFrame([('{"A":{"B":{"C":{"D":{"E":{}}}}}}',), ("{}",), (None,)], "json string")
+    assert sorted(len(r["path"]) for r in prep.flatten_hierarchy(df, "json").collect()) == [1, 2, 3, 4, 5]
+    assert prep.flatten_hierarchy(df.where("json = '{}'"), "json").count() == 0
+
+
+def test_terms_are_taken_literally(spark):
+    df = spark.createDataFrame([("axb a.b A.b a.B c",)], "t string")
+    assert df.select(tx.remove_terms(F.col("t"), ["a.b", "c"])).first()[0] == "axb   a.B "
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 1000, 5000])
+def test_samples_have_their_size(spark, n):
+    got = [r["id"] for r in prep.sample_n(spark.range(1000), n, 3).collect()]
+    assert len(got) == len(set(got)) == min(n, 1000)
 
 
 def test_list_replies(spark):
