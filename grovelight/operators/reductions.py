@@ -242,8 +242,8 @@ def mine_triplets(points: DataFrame, n_in: int = 12, n_out: int = 4, n_rand: int
     order = W.partitionBy("i").orderBy("far")
     halves = loose.withColumn("_r", F.row_number().over(order) - 1).withColumn("_t", (F.col("_r") / 2).cast("int"))
     paired = _with_distance(halves, points, "i", "far", "d").groupBy("i", "_t").agg(
-        F.min_by("far", "d").alias("j"), F.max_by("far", "d").alias("far"), F.min("d").alias("d"), F.count(F.lit(1)).alias("_n")
-    ).where("_n = 2").select("i", "j", "d", "far")
+        F.min(F.struct("d", "far")).alias("_lo"), F.max(F.struct("d", "far")).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    ).where("_n = 2").select("i", F.col("_lo.far").alias("j"), F.col("_lo.d").alias("d"), F.col("_hi.far").alias("far"))
     both = scratch.cut(_with_distance(mined.select("i", "j", "d", "far").unionByName(paired), points, "i", "far", "d_far"), "triplets")
     sigma = scratch.cut(_local_scale(near), "sigma")
     scaled = both

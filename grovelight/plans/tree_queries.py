@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as c, graph as g, tiles as t, tree_scores as ts, trees as tr
-from .benchmark import flat_level_scores, score_levels
+from .benchmark import score_levels
 from .relations import HIER_CTE, POINTS_CTE, hierarchy, point_labels, points, table
 
 
