@@ -122,16 +122,18 @@ QUERIES = {
     "T19_hierarchical_kmeans": lambda s, d: c.hierarchical_kmeans(points(s, d), [40, 10, 2]),
     "T20_membership_table": _membership,
     "T21_membership_to_tree": lambda s, d: tr.membership_to_tree(
-        c.hierarchical_kmeans(points(s, d), [10, 2]), ["level_1", "level_2", "level_3"]
+        _membership(s, d).withColumn("level_3", F.lit(0).cast("long")), ["level_1", "level_2", "level_3"]
     ),
     "T23_clade_difference": lambda s, d: tr.clade_difference(_truth(s, d), _markets(s, d)),
     "T24_connected_components": _graph_parts,
     "H1_sample_class_pairs": lambda s, d: ts.sample_class_pairs(_market_labels(s, d), 1000, 67),
-    "H2_dendrogram_purity_sampled": lambda s, d: ts.dendrogram_purity_sampled(_places(s, d), _market_labels(s, d)),
+    "H2_dendrogram_purity_sampled": lambda s, d: ts.dendrogram_purity_sampled(_places(s, d), _market_labels(s, d)).withColumn(
+        "dendrogram_purity", F.round("dendrogram_purity", 6)
+    ),
     "H3_dendrogram_purity": lambda s, d: ts.dendrogram_purity(_places(s, d), _market_labels(s, d)).select(
         F.round("dendrogram_purity", 6).alias("dendrogram_purity")
     ),
-    "H4_lca_f1_sampled": lambda s, d: ts.lca_f1_sampled(_places(s, d), _markets(s, d), _market_labels(s, d)),
+    "H4_lca_f1_sampled": lambda s, d: ts.lca_f1_sampled(_places(s, d), _markets(s, d), _market_labels(s, d)).withColumn("lca_f1", F.round("lca_f1", 6)),
     "H5_lca_f1": lambda s, d: ts.lca_f1(_places(s, d), _markets(s, d), _market_labels(s, d)).select(F.round("lca_f1", 6).alias("lca_f1")),
     "F9_score_levels": lambda s, d: score_levels(c.single_linkage_tree(points(s, d)), point_labels(s, d), 2, "given", "Raw", "HDBSCAN"),
 }
@@ -163,6 +165,23 @@ reg AS (SELECT r, c, sum(m) AS m, sum(m * (m - 1) / 2) AS inside FROM nat GROUP
 al AS (SELECT c, sum(m) AS m, sum(m * (m - 1) / 2) AS inside FROM reg GROUP BY ALL),
 nn AS (SELECT r, n, sum(m) AS s FROM nat GROUP BY ALL), rr AS (SELECT r, sum(m) AS s FROM reg GROUP BY ALL), tt AS (SELECT sum(m) AS s FROM al)"""
 
+_DRAWN = f"""{HIER_CTE}, l AS (SELECT id, category_2 AS label, row_number() OVER (PARTITION BY category_2 ORDER BY id) - 1 AS pos FROM hier WHERE category_2 IS NOT NULL),
+s AS (SELECT label, count(*) AS n, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS w FROM l GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT label, n, CAST(sum(w) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) - w AS BIGINT) AS start, CAST(sum(w) OVER () AS BIGINT) AS total FROM s),
+draws AS (SELECT pair, CAST('0x' || substr(md5(pair || ':class:67'), 1, 15) AS BIGINT) AS rc, CAST('0x' || substr(md5(pair || ':a:67'), 1, 15) AS BIGINT) AS ra,
+  CAST('0x' || substr(md5(pair || ':b:67'), 1, 15) AS BIGINT) AS rb FROM range(1000) t(pair)),
+chosen AS (SELECT pair, label, ra % n AS a, rb % (n - 1) AS b0 FROM draws, c
+  QUALIFY start <= floor(total * (rc / 1152921504606846976.0::DOUBLE)) AND row_number() OVER (PARTITION BY pair, start <= floor(total * (rc / 1152921504606846976.0::DOUBLE)) ORDER BY start DESC) = 1),
+drawn AS (SELECT pair, label, x.id AS i, y.id AS j FROM chosen JOIN l x USING (label) JOIN l y USING (label) WHERE x.pos = a AND y.pos = b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END)"""
+_MET = f"""{_DRAWN}, met AS (
+  SELECT x.category_0 = y.category_0 AND x.category_1 = y.category_1 AS same_n, x.category_0 = y.category_0 AS same_r,
+    CAST((SELECT count(*) FROM hier h WHERE h.category_0 = x.category_0 AND h.category_1 = x.category_1 AND h.category_2 = label) AS DOUBLE) AS rnc,
+    CAST((SELECT count(*) FROM hier h WHERE h.category_0 = x.category_0 AND h.category_1 = x.category_1) AS DOUBLE) AS rn,
+    CAST((SELECT count(*) FROM hier h WHERE h.category_0 = x.category_0 AND h.category_2 = label) AS DOUBLE) AS rc,
+    CAST((SELECT count(*) FROM hier h WHERE h.category_0 = x.category_0) AS DOUBLE) AS r,
+    CAST((SELECT count(*) FROM hier h WHERE h.category_2 = label) AS DOUBLE) AS c, CAST((SELECT count(*) FROM hier) AS DOUBLE) AS t
+  FROM drawn JOIN hier x ON x.id = i JOIN hier y ON y.id = j)"""
+
 
 def _component_sql(edges: str) -> str:
     return f"""WITH RECURSIVE {_NEAR}, near AS ({edges}),
@@ -206,6 +225,19 @@ k AS (SELECT parent AS node, count(*) AS kids FROM tree WHERE parent IS NOT NULL
 SELECT depth, count(*) AS nodes, round(avg(kids), 6) AS mean_children, min(kids) AS min_children, max(kids) AS max_children FROM d JOIN k USING (node) GROUP BY 1""",
     "T20_membership_table": """SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS level_1, CAST(n_regionkey AS BIGINT) AS level_2
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "T21_membership_to_tree": """WITH m AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT max(id) + 1 AS oa, max(id) + 1 + max(a) + 1 AS ob, max(id) + 1 + max(a) + 1 + max(b) + 1 AS oc FROM m)
+SELECT id AS node, a + oa AS parent, true AS is_leaf, CAST(1 AS BIGINT) AS size FROM m, o
+UNION ALL SELECT a + oa, b + ob, false, count(*) FROM m, o GROUP BY 1, 2
+UNION ALL SELECT b + ob, oc, false, count(*) FROM m, o GROUP BY 1, 2
+UNION ALL SELECT oc, NULL, false, count(*) FROM m, o GROUP BY 1""",
+    "H1_sample_class_pairs": f"WITH {_DRAWN} SELECT pair, label, i, j FROM drawn",
+    "H2_dendrogram_purity_sampled": f"""WITH {_MET} SELECT round(avg(CASE WHEN same_n THEN rnc / rn WHEN same_r THEN rc / r ELSE c / t END), 6) AS dendrogram_purity, count(*) AS pairs FROM met""",
+    "H4_lca_f1_sampled": f"""WITH {_MET} SELECT round(avg(CASE WHEN same_n THEN 2 * rnc / (rn + rc) WHEN same_r THEN 2 * rc / (r + rc) ELSE 2 * c / (t + c) END), 6) AS lca_f1, count(*) AS pairs FROM met""",
+    "T13_tree_intervals": f"""WITH RECURSIVE {_TREE}, before AS (
+  SELECT node, coalesce(sum(size) OVER (PARTITION BY parent ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM tree WHERE parent IS NOT NULL)
+SELECT t.node, CAST(coalesce(sum(earlier), 0) AS BIGINT) AS lo, CAST(coalesce(sum(earlier), 0) + any_value(t.size) - 1 AS BIGINT) AS hi
+FROM tree t JOIN up ON up.node = t.node LEFT JOIN before b ON b.node = up.anc WHERE NOT t.is_leaf GROUP BY t.node""",
     "T23_clade_difference": f"""WITH RECURSIVE {_TREE},
 a AS (SELECT DISTINCT leaves FROM (SELECT anc, string_agg(CAST(up.node AS VARCHAR), ',' ORDER BY up.node) AS leaves
   FROM up JOIN tree ON tree.node = up.node WHERE tree.is_leaf AND steps > 0 GROUP BY anc)),
