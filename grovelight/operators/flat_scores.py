@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import ln_factorial
 
 EMI_CHUNK = 8192
+EMI_GRID = 16
 
 
 def aligned_labels(target: DataFrame, pred: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
@@ -159,9 +160,13 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = cells.groupBy(*by).agg(F.sum("n_ij").alias("n"))
     a, b, n, m = F.col("a"), F.col("b"), F.col("n"), F.col("m")
     low, high = F.greatest(F.lit(1).cast("long"), a + b - n), F.least(a, b)
+    # every size meets every other: both sides are laid out on a grid of cells, so that no task or broadcast holds all of one side
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(EMI_GRID)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(EMI_GRID - 1)))
+    rows = sizes_a.join(totals, list(by)).withColumn("_x", cell("a")).withColumn("_y", every)
+    columns = sizes_b.withColumn("_y", cell("b")).withColumn("_x", every)
     chunks = (
-        sizes_a.join(totals, list(by))
-        .join(sizes_b, list(by))
+        rows.join(columns, [*by, "_x", "_y"])
         .where(low <= high)
         .withColumn("start", F.explode(F.sequence(low, high, F.lit(EMI_CHUNK).cast("long"))))
         .repartition("a", "b", "start")
