@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -129,3 +130,25 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
 def slices(counts: np.ndarray) -> np.ndarray:
     """Bounds of consecutive runs of these lengths."""
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+
+
+def in_bytes(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal numbers as (number, length), lengths in one byte: a run of over 255 comes in several parts."""
+    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    length = np.diff(np.append(new, len(owner)))
+    parts = -(-length // 255)
+    out = np.full(int(parts.sum()), 255, np.uint8)
+    out[np.cumsum(parts) - 1] = length - 255 * (parts - 1)
+    return np.repeat(owner[new], parts), out
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed: small numbers and repeated high bytes cost little."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return zstandard.compress(planes, 1)
+
+
+def spread(data: bytes, kind=np.uint64) -> np.ndarray:
+    """What ``squeezed`` has packed."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)

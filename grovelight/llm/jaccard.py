@@ -9,11 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.graph import connected_components
+from ..sources.scratch import Scratch
 from .common import part_count, scratch
-from .grams import chunks, mixed, pack, set_digest, shingle_set, unpack, words_in
+from .grams import chunks, in_bytes, mixed, pack, set_digest, shingle_set, spread, squeezed, unpack, words_in
 
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
+FLUSH_TOKENS = 1 << 20
+TURNS = 8
+PART_BYTES = 8 << 20
 BLOCK = 256
+PAIRS_AT_ONCE = 1 << 22
+BROADCAST_ROWS = 200_000
 SETS = "node long, n int, prefix int, tokens binary"
 _LOW48 = np.uint64(2**48 - 1)
 
@@ -44,35 +50,39 @@ def shingle_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
 def _spread_tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """(bucket, data): the shingles of all sets, dealt by their leading bits and packed by batch; equal sets of a batch once."""
 
+    def flushed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets], np.int32)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, tokens, owner = bucket[order], tokens[order] & _LOW48, owner[order]
+        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        node_ids = np.array(nodes, np.int64)
+        keys, data = [], []
+        for b in range(1 << bits):
+            lo, hi = edges[b], edges[b + 1]
+            if lo < hi:
+                who, counts = in_bytes(owner[lo:hi])
+                here = tokens[lo:hi]
+                keys.append(b)
+                data.append(pack(node_ids[who], sizes[who], counts, here.astype(np.uint32), (here >> np.uint64(32)).astype(np.uint16)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
     def run(batches):
         for batch in batches:
-            seen, nodes, sets = set(), [], []
+            seen, nodes, sets, held = set(), [], [], 0
             for _, tokens in _document_sets(batch, "text", k):
                 node = set_digest(tokens) if len(tokens) else None
                 if node is not None and node not in seen:
                     seen.add(node)
                     nodes.append(node)
                     sets.append(tokens)
-            if not sets:
-                continue
-            sizes = np.array([len(s) for s in sets], np.int32)
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-            bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            bucket, tokens, owner = bucket[order], tokens[order] & _LOW48, owner[order]
-            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            node_ids = np.array(nodes, np.int64)
-            keys, data = [], []
-            for b in range(1 << bits):
-                lo, hi = edges[b], edges[b + 1]
-                if lo < hi:
-                    who, counts = np.unique(owner[lo:hi], return_counts=True)  # owners ascend within a bucket
-                    here = tokens[lo:hi]
-                    keys.append(b)
-                    data.append(
-                        pack(node_ids[who], sizes[who], counts.astype(np.int32), here.astype(np.uint32), (here >> np.uint64(32)).astype(np.uint16))
-                    )
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.large_binary()).cast(pa.binary())], ["bucket", "data"])
+                    held += len(tokens)
+                if held >= FLUSH_TOKENS:
+                    yield flushed(nodes, sets)
+                    nodes, sets, held = [], [], 0
+            if sets:
+                yield flushed(nodes, sets)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, data binary")
 
@@ -82,23 +92,31 @@ def _shared_tokens(bits: int, parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        got = [unpack(x.as_py(), np.int64, np.int32, np.int32, np.uint32, np.uint16) for x in table.column("data")]
+        got = [unpack(x.as_py(), np.int64, np.int32, np.uint8, np.uint32, np.uint16) for x in table.column("data")]
+        came = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         nodes, sizes, counts, low, high = (np.concatenate(x) for x in zip(*got))
         del got
         tokens = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        _, first = np.unique(nodes, return_index=True)  # an equal set of another batch has the same shingles
+        # an equal set that came in another row has the same shingles; a set's parts come in one row
+        order = np.lexsort((came, nodes))
+        begins = np.flatnonzero(np.concatenate(([True], nodes[order][1:] != nodes[order][:-1])))
         keep = np.zeros(len(nodes), bool)
-        keep[first] = True
+        keep[order] = came[order] == np.repeat(came[order][begins], np.diff(np.append(begins, len(nodes))))
         tokens = tokens[np.repeat(keep, counts)]
         nodes, sizes, counts = nodes[keep], sizes[keep], counts[keep]
         owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-        df = np.diff(np.append(starts, len(tokens)))
-        df = np.repeat(df, df).astype(np.int32)
-        shared = df > 1
-        tokens, owner, df = tokens[shared] | (np.uint64(bucket) << np.uint64(48)), owner[shared], df[shared]
+        some, named = [], 0
+        for turn in range(TURNS):  # shingles in turns, so that little of the bucket is sorted at a time
+            chosen = np.flatnonzero(tokens % np.uint64(TURNS) == turn)
+            chosen = chosen[np.argsort(tokens[chosen], kind="stable")]
+            t = tokens[chosen]
+            starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+            df = np.diff(np.append(starts, len(t)))
+            number = np.repeat(named + np.cumsum(df > 1) - 1, df)  # shared shingles are numbered from here on
+            named += int((df > 1).sum())
+            df = np.repeat(df, df)
+            some.append((number[df > 1].astype(np.uint32), owner[chosen[df > 1]], df[df > 1].astype(np.int32)))
+        tokens, owner, df = (np.concatenate(x) for x in zip(*some))
         part = ((nodes.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)[owner]
         order = np.lexsort((owner, part))
         tokens, owner, df, part = tokens[order], owner[order], df[order], part[order]
@@ -106,9 +124,9 @@ def _shared_tokens(bits: int, parts: int):
         to = np.append(at[1:], len(part))
         data = []
         for lo, hi in zip(at, to):
-            who, n = np.unique(owner[lo:hi], return_counts=True)
-            data.append(pack(nodes[who], sizes[who], n.astype(np.int32), tokens[lo:hi], df[lo:hi]))
-        return pa.table({"part": pa.array(part[at], pa.int32()), "data": pa.array(data, pa.binary())})
+            who, n = in_bytes(owner[lo:hi])
+            data.append([squeezed(c) for c in (nodes[who], sizes[who], n, tokens[lo:hi], df[lo:hi])])
+        return pa.table({"part": pa.array(part[at], pa.int32()), "bucket": pa.array([bucket] * len(at), pa.int32()), "data": pa.array(data, pa.list_(pa.binary()))})
 
     return run
 
@@ -117,9 +135,12 @@ def _ordered_sets(percent: int):
     """Sets that can have a partner: their shared shingles from rare to frequent, and how many of them the prefix holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [unpack(x.as_py(), np.int64, np.int32, np.int32, np.uint64, np.int32) for x in table.column("data")]
+        kinds = (np.int64, np.int32, np.uint8, np.uint32, np.int32)
+        got = [[spread(c, kind) for c, kind in zip(x.as_py(), kinds)] for x in table.column("data")]
+        held = [len(g[3]) for g in got]
         nodes, sizes, counts, tokens, df = (np.concatenate(x) for x in zip(*got))
         del got
+        tokens = tokens.astype(np.uint64) | (np.repeat(table.column("bucket").to_numpy().astype(np.uint64), held) << np.uint64(32))
         node, n = np.repeat(nodes, counts), np.repeat(sizes, counts)
         order = np.lexsort((tokens, df, node))
         node, n, tokens = node[order], n[order], tokens[order]
@@ -134,7 +155,7 @@ def _ordered_sets(percent: int):
                 "node": pa.array(node[at][rows], pa.int64()),
                 "n": pa.array(size[rows], pa.int32()),
                 "prefix": pa.array(prefix[rows], pa.int32()),
-                "tokens": pa.array([tokens[at[r] : to[r]].tobytes() for r in rows], pa.binary()),
+                "tokens": pa.array([squeezed(tokens[at[r] : to[r]]) for r in rows], pa.binary()),
             }
         )
 
@@ -155,13 +176,13 @@ def _open_groups(percent: int):
         members, queries = np.flatnonzero(~role), np.flatnonzero(role)
         out: list[tuple[int, int]] = []
         if len(members) and len(queries):
-            held = [np.frombuffer(sets[int(m)].as_py(), np.uint64) for m in members]
+            held = [spread(sets[int(m)].as_py()) for m in members]
             tokens, owner = np.concatenate(held), np.repeat(np.arange(len(members)), [len(h) for h in held])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             union = tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))]
             for q in queries:
-                asked = np.frombuffer(sets[int(q)].as_py(), np.uint64)
+                asked = spread(sets[int(q)].as_py())
                 at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
                 inside = asked[union[at] == asked]
                 if 100 * len(inside) < percent * n[q]:
@@ -177,7 +198,7 @@ def _open_groups(percent: int):
     return run
 
 
-def _links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, place: Scratch) -> DataFrame:
     """(i, j): for each query and block of a group that it asks for, a member it is linked with, if there is one.
 
     ``members`` is (grp, node), ``queries`` is (grp, node). Large groups are opened in blocks of members and of queries.
@@ -193,38 +214,93 @@ def _links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int
     to = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
     m = members.join(shape, "grp").select("grp", "node", of("blocks").alias("block"), to("runs").alias("run")).withColumn("query", F.lit(False))
     q = queries.join(shape, "grp").select("grp", "node", of("runs").alias("run"), to("blocks").alias("block")).withColumn("query", F.lit(True))
-    placed = m.unionByName(q).join(sets.select("node", "n", "tokens"), "node")
-    return placed.select("grp", "block", "run", "query", "node", "n", "tokens").groupBy("grp", "block", "run").applyInArrow(
+    placed = place.cut(m.unionByName(q), "placed")
+    # few places are sent to the sets (under 10 MB); with more, both sides are shuffled
+    few = placed.count() <= BROADCAST_ROWS
+    held = (F.broadcast(placed) if few else placed).join(sets.select("node", "n", "tokens"), "node")
+    return held.select("grp", "block", "run", "query", "node", "n", "tokens").groupBy("grp", "block", "run").applyInArrow(
         _open_groups(percent), "i long, j long"
     )
 
 
-def _prefix_tokens(sets: DataFrame) -> DataFrame:
+def _dealt_prefixes(sets: DataFrame, parts: int) -> DataFrame:
+    """(part, data): the prefixes, dealt by shingle. A prefix shingle goes with how many shared shingles stand from it on."""
+
     def run(batches):
         for batch in batches:
-            q = batch.column("prefix").to_numpy()
-            if not len(q):
+            prefix = batch.column("prefix").to_numpy()
+            if not len(prefix):
                 continue
-            tokens = [np.frombuffer(t.as_py(), np.int64)[:p] for t, p in zip(batch.column("tokens"), q)]
-            rows = np.repeat(np.arange(len(q)), [len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), batch.column("node").take(pa.array(rows)), batch.column("comp").take(pa.array(rows)), batch.column("n").take(pa.array(rows))],
-                ["token", "node", "comp", "n"],
-            )
+            whole = [spread(t.as_py()) for t in batch.column("tokens")]
+            tokens = np.concatenate([t[:p] for t, p in zip(whole, prefix)])
+            rest = np.concatenate([len(t) - np.arange(p) for t, p in zip(whole, prefix)]).astype(np.int32)
+            owner = np.repeat(np.arange(len(prefix)), prefix)
+            part = (mixed(tokens) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            tokens, rest, owner, part = tokens[order], rest[order], owner[order], part[order]
+            fields = [batch.column(c).to_numpy() for c in ("node", "comp", "weight", "n")]
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            data = []
+            for lo, hi in zip(at, np.append(at[1:], len(part))):
+                who, counts = np.unique(owner[lo:hi], return_counts=True)
+                data.append(pack(*[f[who] for f in fields], counts.astype(np.int32), tokens[lo:hi], rest[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    return sets.mapInArrow(run, "part int, data binary")
+
+
+def _asked_groups(percent: int):
+    """The token-group matrix of one part of the shingles, and which nodes ask for which larger groups by it.
+
+    A cell holds, over the group's members with this shingle in their prefix, the smallest size and the most shared
+    shingles from there on. With r the lesser of that and the node's own, no member reached first by this shingle shares more
+    than r with the node, so a cell counts only if 100 * r >= ``percent`` * (both sizes - r). A linked pair passes
+    at its first common shingle.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        got = [unpack(x.as_py(), np.int64, np.int64, np.int64, np.int32, np.int32, np.uint64, np.int32) for x in table.column("data")]
+        node, comp, weight, size, counts, token, rest = (np.concatenate(x) for x in zip(*got))
+        del got
+        row = np.repeat(np.arange(len(node)), counts)
+        order = np.lexsort((comp[row], weight[row], token))  # within a shingle from small groups to large ones
+        token, row, rest = token[order], row[order], rest[order].astype(np.int64)
+        c, n = comp[row], size[row].astype(np.int64)
+        cell = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (c[1:] != c[:-1])))) if len(token) else np.zeros(0, np.int64)
+        most, least = (np.maximum.reduceat(rest, cell), np.minimum.reduceat(n, cell)) if len(cell) else (rest, n)
+        of_row = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(token))))
+        last = np.searchsorted(token[cell], token, "right")  # past the last cell of the row's shingle
+        later = last - of_row - 1
+        found = np.zeros((0, 2), np.int64)
+        bounds = np.concatenate(([0], np.cumsum(later)))
+        at = 0
+        while at < len(token):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PAIRS_AT_ONCE, "right")) - 1)
+            width = later[at:to]
+            q = np.repeat(np.arange(at, to), width)
+            g = np.repeat(of_row[at:to] + 1 - (bounds[at:to] - bounds[at]), width) + np.arange(int(width.sum()))
+            r = np.minimum(rest[q], most[g])
+            good = 100 * r >= percent * (n[q] + least[g] - r)
+            pairs = np.stack((c[cell[g[good]]], node[row[q[good]]]), 1)
+            found = np.unique(np.concatenate((found, pairs)), axis=0)
+            at = to
+        return pa.table({"grp": pa.array(found[:, 0], pa.int64()), "node": pa.array(found[:, 1], pa.int64())})
 
-    return sets.mapInArrow(run, "token long, node long, comp long, n int")
+    return run
 
 
 def _smallest_hash(sets: DataFrame, seed: int) -> DataFrame:
-    """(node, key): the smallest digest, under one of several orders, of each set's shared shingles."""
+    """(node, key, own): the smallest digest, under one of several orders, of each set's shared shingles, and its share of others."""
 
     def run(batches):
         salt = np.uint64((seed * 0x2545F4914F6CDD1D + 1) & (2**64 - 1))
         for batch in batches:
-            keys = [int(mixed(np.frombuffer(t.as_py(), np.uint64) ^ salt).min().view(np.int64)) for t in batch.column("tokens")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.int64())], ["node", "key"])
+            held = [spread(t.as_py()) for t in batch.column("tokens")]
+            keys = [int(mixed(t ^ salt).min().view(np.int64)) for t in held]
+            own = [1.0 - len(t) / n.as_py() for t, n in zip(held, batch.column("n"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.int64()), pa.array(own, pa.float64())], ["node", "key", "own"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, key long")
+    return sets.select("node", "n", "tokens").mapInArrow(run, "node long, key long, own double")
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,7 +309,7 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(ends, links)
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = 1) -> DataFrame:
     """Per document: doc_id, n (distinct k-word shingles), component_id.
 
     Documents link when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id reachable by links.
@@ -241,8 +317,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, orders: i
     1. Documents with equal sets share a node. 2. Shingles are counted over all nodes; those of one node only can't match,
     and with the rest in order of frequency every linked pair shares a shingle of both prefixes. Nodes whose prefix holds
     no shared shingle are done. 3. Groups: under ``orders`` hash orders, nodes with the same smallest shingle are compared
-    with one of them, and linked nodes form a group, so every group is connected. 4. The matrix (prefix shingle, group)
-    is joined with the nodes' prefixes; each node asks for every larger group it meets there, save its own. 5. Asked groups are
+    with the one that has the least shingles of its own, and linked nodes form a group, so every group is connected. 4. In the matrix
+    (prefix shingle, group) each node asks for every larger group that it meets there and that could hold a partner. 5. Asked groups are
     opened in blocks: the union of a block's shingles bounds the overlap, and qualifying members are compared exactly.
 
     Step 3 only saves work: a pair of nodes in different groups meets in step 4 whenever it can link, so no link between
@@ -254,43 +330,31 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, orders: i
     """
     spark = docs.sparkSession
     place = scratch(spark)
-    parts = part_count(docs, BUCKET_BYTES)
-    bits = min(16, max(4, int(parts - 1).bit_length()))
+    parts = part_count(docs, PART_BYTES)
+    bits = min(16, int(part_count(docs, BUCKET_BYTES) - 1).bit_length())
     rows = place.cut(shingle_nodes(docs, k), "nodes")
-    buckets = _spread_tokens(docs, k, bits).groupBy("bucket").applyInArrow(_shared_tokens(bits, parts), "part int, data binary")
+    buckets = _spread_tokens(docs, k, bits).groupBy("bucket").applyInArrow(_shared_tokens(bits, parts), "part int, bucket int, data array<binary>")
     sets = place.cut(buckets.groupBy("part").applyInArrow(_ordered_sets(percent), SETS), "sets")
 
     links = None
     own = sets.select("node", F.col("node").alias("comp"))
     for order in range(orders):
         keyed = _smallest_hash(sets, order).join(own, "node")
-        leaders = keyed.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("leader"), F.count("*").alias("held")).where("held > 1")
+        leaders = keyed.groupBy("key").agg(F.min(F.struct("own", "node", "comp")).alias("leader"), F.count("*").alias("held")).where("held > 1")
         asks = keyed.join(leaders.select("key", "leader"), "key").where("node <> leader.node and comp <> leader.comp")
         asks = place.cut(asks.select(F.col("leader.node").alias("grp"), "node"), "asks")
         heads = asks.select("grp").distinct().select("grp", F.col("grp").alias("node"))
-        place.cut(_links(heads, asks, sets, percent), "links")
+        place.cut(_links(heads, asks, sets, percent, place), "links")
         links = place.all_of("links")
         own = place.cut(_own(sets, _components(sets, links)), "own")
 
     sizes = own.groupBy("comp").agg(F.count("*").alias("weight"))
     owned = own.join(sizes, "comp")
-    prefixes = place.cut(_prefix_tokens(sets.join(own, "node").select("node", "n", "prefix", "tokens", "comp")), "prefixes")
-    met = prefixes.join(owned.select("node", "weight"), "node")
-    matrix = met.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("weight").alias("weight"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    rows_of = matrix.join(several, "token").select(
-        "token", F.col("comp").alias("grp"), "least", "most", F.struct("weight", "comp").alias("g_rank")
-    )
-    asks = (
-        met.select("token", "node", "n", F.struct("weight", "comp").alias("rank"))
-        .join(rows_of, "token")
-        .where((F.col("rank") < F.col("g_rank")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
-        .select("grp", "node")
-        .distinct()
-    )
+    dealt = _dealt_prefixes(sets.join(owned, "node").select("node", "comp", "weight", "n", "prefix", "tokens"), parts)
+    asks = dealt.groupBy("part").applyInArrow(_asked_groups(percent), "grp long, node long").distinct()
     asks = place.cut(asks, "asks")
     members = own.select(F.col("comp").alias("grp"), "node").join(asks.select("grp").distinct(), "grp")
-    place.cut(_links(members, asks, sets, percent), "links")
+    place.cut(_links(members, asks, sets, percent, place), "links")
     found = place.cut(_components(sets, place.all_of("links")), "components")
 
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -312,8 +376,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     Rows without an id can't be told apart by name and all stay. Of rows that repeat an id and a text, one stays.
     """
     found = similar_components(docs, k, percent)
-    heads = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("h_id"))
-    once = docs.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
-    kept = once.where("_turn = 1").drop("_turn")
-    named = kept.join(heads.distinct(), F.col("doc_id") == F.col("h_id"), "left_semi")
-    return named.unionByName(kept.where("doc_id is null"))
+    heads = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_h_id"))
+    named = docs.join(heads.distinct(), F.col("doc_id") == F.col("_h_id"), "left_semi")
+    # the join has brought the rows of an id together
+    once = named.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
+    return once.where("_turn = 1").drop("_turn").unionByName(docs.where("doc_id is null"))
