@@ -58,6 +58,12 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     marks words but is not listed; repeated rows and repeated items change nothing; empty tables and further
     columns are fine. Hot shingles stay rows of (document, position), at most one per document word and shingle length.
     """
+    found = _hit(docs.select("doc_id", "text"), benchmark, size, shingle)
+    return found.select("doc_id", "text", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "items")])
+
+
+def _hit(docs: DataFrame, benchmark: DataFrame, size: int = 13, shingle: int = 3) -> DataFrame:
+    """``docs`` with _n_words, _n_hit and _items."""
     place = scratch(docs.sparkSession)
     bench = place.cut(windows(benchmark, size), "windows")
     parts = (
@@ -97,31 +103,28 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
             .groupBy("doc_id", "version")
             .agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "window", "items")).alias("found"))
         )
-    f = found.select(F.col("doc_id").alias("f_id"), F.col("version").alias("f_version"), "found")
-    joined = texts.join(f, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("version") == F.col("f_version")), "left")
-    checked = _kept_in_row(joined, "words", bench_words(F.col("text")))
+    f = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("found").alias("_found"))
+    joined = docs.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key("text") == F.col("_version")), "left")
+    checked = _kept_in_row(joined, "_words", bench_words(F.col("text")))
     right = F.filter(
-        F.coalesce("found", F.array()),
-        lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["window"])) == c["window"],
+        F.coalesce("_found", F.array()),
+        lambda c: F.slice(F.col("_words"), c["start"] + 1, F.size(c["window"])) == c["window"],
     )
-    checked = _kept_in_row(checked.drop("f_id", "f_version"), "sure", right)
-    spots = F.transform("sure", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))
+    checked = _kept_in_row(checked, "_sure", right)
+    spots = F.transform("_sure", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))
     return checked.select(
-        "doc_id",
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(spots))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.col("sure.items")))).alias("items"),
+        *docs.columns,
+        F.size("_words").cast("long").alias("_n_words"),
+        F.size(F.array_distinct(F.flatten(spots))).cast("long").alias("_n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.col("_sure.items")))).alias("_items"),
     )
 
 
-def is_contaminated() -> Column:
+def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     """At least one word in twenty lies in a benchmark window."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns. Rows of one id and one text go together."""
-    bad = contaminated_words(docs, benchmark, size).where(is_contaminated())
-    gone = bad.select(F.col("doc_id").alias("_g_id"), row_key("text").alias("_g_version")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (row_key("text") == F.col("_g_version")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    return _hit(docs, benchmark, size).where(~is_contaminated("_n_hit", "_n_words")).select(*docs.columns)

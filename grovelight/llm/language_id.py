@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import ship_package
 
@@ -87,7 +87,7 @@ def sizes_of(text: str, coders: list, block: int) -> list[int]:
 def identify(
     docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, block: int = 16384, level: int = 8, certainty: float = 0.25
 ) -> DataFrame:
-    """Per document: doc_id, version, lang_pred, score, margin, rejected.
+    """Per document: doc_id, lang_pred, score, margin, rejected.
 
     The language with the smallest compressed size wins, ties to the smaller code. ``margin`` of a row is how much smaller it
     is than the second smallest, as a share of that; below ``margin`` the row is rejected, though its best language is still
@@ -97,10 +97,19 @@ def identify(
     Null texts and texts without a letter are ``und``, with score 0, and rejected; so is everything if no language was learned; with one
     language nothing is narrow. Texts are compressed whole. Repeated rows are judged alike; empty tables and further columns are fine.
     """
+    found = _judged(docs.select("doc_id", "text"), dictionaries, margin, block, level, certainty)
+    return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "margin", "rejected")])
+
+
+def _judged(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, block: int = 16384, level: int = 8, certainty: float = 0.25) -> DataFrame:
+    """``docs`` with _lang_pred, _score, _margin and _rejected; rows stay where they are."""
     ship_package(docs.sparkSession)
     langs = sorted(dictionaries)
     contents = {lang: dictionaries[lang] for lang in langs}
-    kind = dict(docs.dtypes)["doc_id"]
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_margin", T.DoubleType())]
+    )
+    columns, names = docs.columns, schema.names
 
     def run(batches):
         coders = _coders(contents, level) if contents else []
@@ -119,14 +128,11 @@ def identify(
                 pred.append(langs[ranked[0]])
                 score.append(1.0 / sum(2.0 ** max(-900.0, certainty * 8 * (best - s)) for s in sizes))
                 gap.append(1.0 if second is None else (second - best) / second)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64())],
-                ["doc_id", "version", "lang_pred", "score", "margin"],
-            )
+            added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + added, names)
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(run, f"doc_id {kind}, version long, lang_pred string, score double, margin double")
-    return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < margin))
+    rejected = (F.col("_lang_pred") == UNKNOWN) | (F.col("_margin") < margin)
+    return docs.mapInArrow(run, schema).withColumn("_rejected", rejected)
 
 
 def identify_held_out(docs: DataFrame, folds: int = 3, fold: int = 1, **settings) -> DataFrame:
@@ -135,9 +141,7 @@ def identify_held_out(docs: DataFrame, folds: int = 3, fold: int = 1, **settings
     return identify(docs, dictionaries, **settings).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
 
 
-def in_known_language(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
-    found = identify_held_out(docs, **settings).where(~F.col("rejected"))
-    kept = found.select(F.col("doc_id").alias("_k_id"), F.col("version").alias("_k_version")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.xxhash64("text") == F.col("_k_version"))
-    return docs.join(kept, on, "left_semi")
+def in_known_language(docs: DataFrame, folds: int = 3, fold: int = 1, **settings) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns, learned as ``identify_held_out`` learns."""
+    dictionaries = learn(docs.where(~held_out(F.col("doc_id"), folds, fold)))
+    return _judged(docs, dictionaries, **settings).where(~F.col("_rejected")).select(*docs.columns)
