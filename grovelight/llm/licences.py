@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,15 +61,26 @@ RULES = [
 # Every known sentence holds one of these letters in a row; texts without any of them hold no sentence.
 CUES = ["licens", "permission", "redistribut", "software", "warrant", "copyright"]
 
-# A sentence ends at a line end, or at . ! ? ; : followed by white space or the end.
+# A piece ends at a line end, or at . ! ? ; : followed by white space or the end. A known sentence is one piece or several in a row.
 SENTENCE_END = "(?<![.!?;:])[.!?;:]++(?=[\\x20\\x09-\\x0D]|$)|[\\x0A-\\x0D]+"
-NOT_LETTER = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+NOT_LETTER = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 HAS_LETTER = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case A-Z; runs of anything but ASCII letters, digits and non-ASCII characters become one space."""
-    return F.trim(F.regexp_replace(lower_ascii(sentence), NOT_LETTER, " "))
+def normalised(text: Column) -> Column:
+    """The pieces of a text between line feeds. Lower-case A-Z; runs of anything but ASCII letters, digits and non-ASCII characters become one space.
+
+    None stands at either end of a piece, so comment marks and quotes go, and with them the pieces that hold nothing else.
+    """
+    ended = F.concat(F.lit("\n"), F.regexp_replace(text, SENTENCE_END, "\n"), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(lower_ascii(ended), NOT_LETTER, " "), " ?\n[ \n]*", "\n")
+
+
+def any_of(sentences: Sequence[tuple[str, str]]) -> str:
+    """A pattern for known sentences in ``normalised`` texts, the longest first: from the start of a piece to the end of that or a later one."""
+    texts = sorted((text for _, text in sentences), key=lambda t: (-len(t), t))
+    words = ("[ \n]".join(re.escape(w) for w in t.split(" ")) for t in texts)
+    return f"(?<=\n)(?:{'|'.join(words)})(?=\n)"
 
 
 def scan(
@@ -79,25 +91,24 @@ def scan(
 ) -> DataFrame:
     """Per document: doc_id, n_sentences, known (sentence identifiers in order), licences (in order of first match), leftover.
 
-    Texts are split into sentences, each is normalised and looked up in ``sentences``. The identifiers found, in text
-    order, are matched against the rules: a rule matches where its identifiers stand in a row. Rules apply in their order
-    and use up what they match, so a reference inside a full licence text is not reported again. ``leftover`` holds the
-    identifiers that no rule used. ``sentences`` and ``rules`` are configuration and travel inside the plan.
+    Texts are split into pieces at line ends and closing punctuation, and ``n_sentences`` counts those with a letter. A
+    known sentence is found where it is one piece or several in a row, so it may be wrapped over lines, with or without
+    comment marks, and may hold ; : or . itself; of those that start together the longest counts. The identifiers found,
+    in text order, are matched against the rules: a rule matches where its identifiers stand in a row. Rules apply in
+    their order and use up what they match, so a reference inside a full licence text is not reported again. ``leftover``
+    holds the identifiers that no rule used. ``sentences`` and ``rules`` are configuration and travel inside the plan.
 
-    Sentences are looked at in rows; nothing is shuffled. Null or empty texts have no sentence; repeated rows each get
+    Texts are looked at in rows; nothing is shuffled. Null or empty texts have no sentence; repeated rows each get
     their result; empty tables and further columns are fine. Very long texts stay one row.
     """
     known = F.create_map(*[F.lit(x) for name, text in sentences for x in (text, name)])
-    cue = "(?i)" + "|".join(cues)
-    pieces = F.split(F.coalesce(F.col("text"), F.lit("")), SENTENCE_END)
-    named = F.filter(
-        F.transform(F.filter("pieces", lambda s: s.rlike(cue)), lambda s: known[normalised(s)]), lambda name: name.isNotNull()
-    )
-    found = (
-        docs.select("doc_id", F.explode(F.array(pieces)).alias("pieces"))
-        .select("doc_id", F.size(F.filter("pieces", lambda s: s.rlike(HAS_LETTER))).cast("long").alias("n_sentences"), named.alias("known"))
-        .select("doc_id", "n_sentences", F.explode(F.array("known")).alias("known"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hits = F.regexp_extract_all(normalised(text), F.lit(any_of(sentences)), F.lit(0))
+    named = F.when(text.rlike("(?i)" + "|".join(cues)), F.transform(hits, lambda s: known[F.translate(s, "\n", " ")])).otherwise(
+        F.array().cast("array<string>")
     )
+    n_sentences = F.size(F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(HAS_LETTER))).cast("long")
+    found = docs.select("doc_id", n_sentences.alias("n_sentences"), F.explode(F.array(named)).alias("known"))
     sequence = F.concat(F.lit(" "), F.array_join(F.transform("known", lambda k: F.concat(k, F.lit(" "))), " "))
     used = found.withColumn("rest", F.explode(F.array(sequence))).withColumn("matched", F.array().cast("array<struct<at:int,licence:string>>"))
     for licence, ids in rules:

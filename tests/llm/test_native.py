@@ -145,6 +145,106 @@ def test_licences(spark):
     assert licences.scan(docs.where("false")).count() == 0
 
 
+# The licences' published wording and line breaks.
+NOTICES = {
+    "GPL-3.0-or-later": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "GPL-2.0-or-later": """
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "MPL-2.0": """
+This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "MIT": """
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "BSD-3-Clause": """
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Apache-2.0": """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+}
+
+
+def test_licences_as_published(spark):
+    forms = {
+        "plain": lambda t: "Copyright (c) 2020 Some One\n" + t,
+        "crlf": lambda t: t.replace("\n", "\r\n"),
+        "slashes": lambda t: "\n".join("// " + x for x in t.split("\n")) + "\nint x;",
+        "stars": lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */",
+        "hashes": lambda t: "#!/bin/sh\n" + "\n".join("# " + x for x in t.split("\n")),
+        "unwrapped": lambda t: "Intro.\n\n" + "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+    }
+    cases = [(f"{name} {form}", f(t), name) for name, t in NOTICES.items() for form, f in forms.items()]
+    docs = spark.createDataFrame([c[:2] for c in cases], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    for i, _, name in cases:
+        assert (got[i]["licences"], got[i]["leftover"]) == ([name], []), (i, got[i])
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     """All stages over small tables, held against the brute-force versions of their rules."""
     import brute
