@@ -48,14 +48,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 60, settled: float = 1e-6, place=None
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 60, place=None
 ) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted hosts along links, from blocked hosts against them.
 
     ``edges`` is (src, dst, n), ``seeds`` is (host, trusted, blocked) with weights that need not sum to 1. Both walks
     restart at their seeds with probability 1 - ``damping``; what reaches a host without links restarts too.
-    Rounds end when no score changes by ``settled``; what is unsettled after ``rounds`` is below damping ** rounds. One round is one join and one sum on the edges,
-    written to the shared folder; hosts stay distributed and only one number per walk comes to the driver.
+    All ``rounds`` run: scores shrink with the number of hosts, so no size of a change tells that the verdicts are settled. What
+    is unsettled after them is below damping ** rounds. One round is one join and one sum on the edges, written to the shared
+    folder; hosts stay distributed and one number per walk is broadcast.
     """
     place = place or scratch(edges.sparkSession)
     directed = edges.select(F.lit(0).alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
@@ -76,13 +77,17 @@ def propagate(
         hosts.select(F.lit(1).alias("walk"), "host", F.coalesce("blocked", F.lit(0)).cast("double").alias("w"))
     )
     sums = starts.groupBy("walk").agg(F.sum("w").alias("sum"))
-    restart = place.cut(
-        starts.join(F.broadcast(sums), "walk").select(
-            "walk", "host", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0).alias("restart")
+    restart = starts.join(F.broadcast(sums), "walk").select(
+        "walk", "host", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0).alias("restart")
+    )
+    leaving = totals.select("walk", F.col("a").alias("host"), F.lit(True).alias("linked"))
+    score = place.cut(
+        restart.join(leaving, ["walk", "host"], "left").select(
+            "walk", "host", "restart", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("restart").alias("score")
         ),
-        "restart",
+        "score",
+        keep=2,
     )
-    score = restart.withColumn("score", F.col("restart"))
     if arcs.isEmpty():
         return _side_by_side(score)  # without a link every walk stays where it starts
     for _ in range(rounds):
@@ -91,20 +96,16 @@ def propagate(
             .groupBy(arcs["walk"].alias("m_walk"), F.col("b").alias("m_host"))
             .agg(F.sum(F.col("score") * F.col("share")).alias("moved"))
         )
-        arrived = score.join(moved, (F.col("walk") == F.col("m_walk")) & (F.col("host") == F.col("m_host")), "left").select(
-            "walk", "host", "restart", "score", F.coalesce("moved", F.lit(0.0)).alias("moved")
-        )
-        arrived = place.cut(arrived, "arrived", keep=2)
-        lost = arrived.groupBy("walk").agg((F.sum("restart") - F.sum("moved") * damping).alias("again"))  # two rows
-        new = F.col("moved") * damping + F.col("restart") * F.col("again")
-        stepped = place.cut(
-            arrived.join(F.broadcast(lost), "walk").select("walk", "host", "restart", new.alias("score"), F.abs(new - F.col("score")).alias("change")),
+        # what leaves hosts with links arrives somewhere; the rest restarts. Two rows
+        lost = score.groupBy("walk").agg((F.sum("restart") - F.sum(F.when(F.col("linked"), F.col("score")).otherwise(0.0)) * damping).alias("again"))
+        new = F.coalesce("moved", F.lit(0.0)) * damping + F.col("restart") * F.col("again")
+        score = place.cut(
+            score.join(moved, (F.col("walk") == F.col("m_walk")) & (F.col("host") == F.col("m_host")), "left")
+            .join(F.broadcast(lost), "walk")
+            .select("walk", "host", "restart", "linked", new.alias("score")),
             "score",
             keep=2,
         )
-        score = stepped.drop("change")
-        if (stepped.agg(F.max("change")).first()[0] or 0.0) < settled:
-            break
     return _side_by_side(score)
 
 

@@ -116,6 +116,20 @@ def test_trust_and_distrust_follow_links(spark):
     assert verdicts["shady.net"] == verdicts["darker.net"] == "block" and verdicts["friend.net"] == verdicts["alone.net"] == "allow"
 
 
+def test_small_scores_still_reach_far_hosts(spark):
+    """A chain to one blocked host whose seed weighs 1e-7 of all seeds: every score on it is below 1e-6."""
+    chain = ["far.net", "d.net", "c.net", "b.net", "a.net", "bad.com"]
+    links = [*zip(chain, chain[1:]), *[(f"f{i}.net", "a.net") for i in range(20)]]
+    weights = {"bad.com": 1.0, "huge.com": 1e7}
+    edges = spark.createDataFrame([(a, b, 1) for a, b in links], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(h, 0, int(w)) for h, w in weights.items()], "host string, trusted long, blocked long")
+    got = {r["host"]: r for r in urls.propagate(edges, seeds).collect()}
+    distrust = _walks([(b, a) for a, b in links], weights)
+    assert 0 < distrust["far.net"] < 1e-8
+    for host in distrust:
+        assert got[host]["trust"] == 0 and got[host]["distrust"] == pytest.approx(distrust[host], rel=1e-3)
+
+
 def test_licences(spark):
     texts = dict((t, n) for n, t in licences.SENTENCES)
     by_name = {}
