@@ -32,13 +32,14 @@ def learn(labelled: DataFrame, pieces: int = 128, piece_chars: int = 768) -> dic
     The sample is bounded by these parameters and by the number of languages; texts and where they are cut are chosen by
     a hash of the text alone, so that every text may take part and reruns agree. Texts without a letter teach nothing.
     """
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.xxhash64("text")
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
-    rows = rows.select("lang", "text", share.alias("share"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("lang", "text", digest.alias("digest"), (F.pmod(digest, F.lit(1 << 30)) / float(1 << 30)).alias("share"))
+    # copies share one hash and teach once, so different texts count
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("digest").alias("n")).collect()}
     if not sizes:
         return {}
-    # a first cut by the hash keeps a few times the wanted rows of each language, then the smallest hashes win
+    # a first cut by the hash keeps a few times the wanted texts of each language, then the smallest hashes win
     odds = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 4.0 * pieces / n)])
     start = F.floor(F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - piece_chars, F.lit(1)))).cast("int") + 1
     drawn = (

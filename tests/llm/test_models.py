@@ -62,6 +62,17 @@ def test_languages_are_told_apart(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (900, 901, 902)").count() == 0 and kept.count() > 150
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    """A language that is mostly copies of one text still learns from as many different texts as it may."""
+    texts = [_speech("xa", i, 12) for i in range(150)]
+    data = [(t, "xa") for t in texts] + [(texts[0], "xa")] * 20_000 + [(_speech("yo", i, 12), "yo") for i in range(60)]
+    docs = spark.createDataFrame(data, "text string, lang string").repartition(3)
+    found = language_id.learn(docs, pieces=100)
+    held = [language_id.letters(t).encode() in found["xa"] for t in texts]
+    assert sum(held) == 100
+    assert all(language_id.letters(_speech("yo", i, 12)).encode() in found["yo"] for i in range(60))
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in language_id.identify_held_out(docs).collect()] == [("und", 0.0)]
