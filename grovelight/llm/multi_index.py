@@ -179,8 +179,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
     count once towards ``visit``, so a hot vector does not end the walk. Nothing is left out of a visited pair: pairs
     are dealt to shards and blocks of bounded size, each block returns its best, and the best of those are kept.
 
-    ``vectors`` and ``queries`` have an integer vec_id and embedding. Queries are not their own neighbours (by vec_id). Rows repeated with one vec_id are
-    each listed. Unusable vectors (see ``usable``) take no part on either side; empty tables give no rows; further columns are ignored.
+    ``vectors`` and ``queries`` have an integer vec_id and embedding. Queries are not their own neighbours (by vec_id). A repeated query is
+    answered once; repeated rows of ``vectors`` are each listed. Unusable vectors (see ``usable``) take no part on either side; empty tables give no rows; further columns are ignored.
     """
     place = scratch(vectors.sparkSession)
     all_of = usable(vectors)
@@ -194,7 +194,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
     held = np.zeros((len(books[0]), width), np.int64)
     for p in pairs:
         held[p["i"], p["j"]] = p["n"]
-    asked = usable(queries).where(F.size("v") == dim)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = usable(queries).where(F.size("v") == dim).dropDuplicates(["vec_id", "v"]).repartition(parts, "vec_id")  # few bytes, much work
     n_queries = asked.count()
     blocks = coded.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()  # one row a shard
     of_shard = F.element_at(F.create_map(*[F.lit(x) for b in blocks for x in (b["shard"], b["blocks"])]), F.col("shard"))

@@ -150,6 +150,17 @@ def test_neighbours(spark):
     assert [r["vec_id"] for r in everything] == [int(i) for i in np.lexsort((np.arange(len(points)), -np.round(exact, 9))) if i != 900][:10]
 
 
+def test_a_repeated_query_is_answered_once(spark):
+    points = np.random.default_rng(7).normal(size=(60, 8))
+    vectors = _vectors(spark, points)
+    once = vectors.where("vec_id in (3, 4)")
+    repeated = once.union(vectors.where("vec_id = 3")).union(vectors.where("vec_id = 3"))
+    search = lambda q: multi_index.search(vectors, q, k=10, cells=4, visit=2.0)
+    got = rows.collected(search(repeated), "query_id", "rank", "vec_id")
+    assert got == rows.collected(search(once), "query_id", "rank", "vec_id")
+    assert len({v for q, _, v in got if q == 3}) == 10
+
+
 def test_few_or_no_vectors(spark):
     vectors = _vectors(spark, np.eye(8)[:3])
     found = multi_index.search(vectors, vectors, k=20).collect()
