@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_tree, jaccard, language_id, language_model, licences, mixing, multi_index, substrings, urls
+from . import (
+    decontam, html_tree, jaccard, language_id, language_model, licences, mixing, multi_index, simhash, substrings, urls, vector_codes, whitening,
+)
 from .common import table
 
 RULES = [
@@ -78,6 +80,18 @@ def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -89,6 +103,9 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_lm_score": op9_lm_score,
     "op10_licence_scan": op10_licence_scan,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _U = "(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(source, '-') || '|' || size || '|' || copy), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
