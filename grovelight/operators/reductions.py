@@ -15,8 +15,8 @@ from ..functions.numeric import l2_normalize, square_distance
 from ..functions.ordering import with_position
 from ..session import ship_package
 from ..sources.scratch import Scratch
+from .pivots import knn_graph
 from .prep import hashed
-from .tiles import knn_graph
 
 HALVINGS = 64
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering as c, graph as g, tiles as t, tree_scores as ts, trees as tr
+from ..operators import clustering as c, graph as g, pivots as pv, tree_scores as ts, trees as tr
 from .benchmark import score_levels
 from .relations import HIER_CTE, POINTS_CTE, hierarchy, point_labels, points, table
 
@@ -87,7 +87,7 @@ def _components(s, d):
 
 def _graph_parts(s, d):
     data = points(s, d)
-    return g.connected_components(data.select(F.col("id").alias("node")), t.knn_graph(data, 2).select("i", "j"))
+    return g.connected_components(data.select(F.col("id").alias("node")), pv.knn_graph(data, 2).select("i", "j"))
 
 
 def _membership(s, d):

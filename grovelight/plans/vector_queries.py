@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import l2_normalize
 from ..functions.text import ASCII_SPACE
-from ..operators import reductions as rd, tiles as t
+from ..operators import pivots as pv, reductions as rd, tiles as t
 from ..operators.describe import describe_clusters
 from .relations import CORPUS_CTE, POINTS_CTE, corpus, flat_points, points
 
@@ -23,7 +23,7 @@ def _pairs(s, d):
 
 
 def _knn(s, d, include_self):
-    near = t.knn_graph(points(s, d), 10, include_self)
+    near = pv.knn_graph(points(s, d), 10, include_self)
     return near.select("i", "j", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 

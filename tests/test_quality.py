@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grovelight.operators import quality as q, reductions as rd, tiles as t
+from grovelight.operators import pivots as pv, quality as q, reductions as rd
 
 
 def table(spark, x):
@@ -41,9 +41,9 @@ def test_tiles_agree_with_numpy_and_with_groups(spark):
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(90) for j in np.argsort(d[i])[:4]}
     points = table(spark, x)
-    assert {(r["i"], r["j"]) for r in t.knn_graph(points, 4).collect()} == want
+    assert {(r["i"], r["j"]) for r in pv.knn_graph(points, 4).collect()} == want
     twice = points.withColumn("g", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    assert t.knn_graph(twice, 4, by=["g"]).count() == 2 * len(want)
+    assert pv.knn_graph(twice, 4, by=["g"]).count() == 2 * len(want)
     approx = {(r["i"], r["j"]) for r in rd.knn_graph_approx(points, 4, projections=3, window=20).collect()}
     assert len(approx & want) / len(want) > 0.8
 
