@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,27 @@ def scratch(spark: SparkSession) -> Scratch:
     return Scratch(spark)
 
 
+def free_name(name: str, df: DataFrame, other: str) -> str:
+    """``name``, or ``other`` where ``df`` has a column of that name, with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name, other = other, f"{other}_"
+    return name
+
+
+def apart(
+    docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame], DataFrame], added: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """``work(docs)``, where columns that the work does not need bear neutral names, so that none clashes with a name used inside.
+
+    The result has the columns of ``docs`` in their order, and the ``added`` ones under their second name.
+    """
+    neutral = {c: c if c in needed else f"carried__{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = work(docs.select(*[quoted(c).alias(n) for c, n in neutral.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in neutral.items()], *[F.col(inner).alias(outer) for inner, outer in added])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

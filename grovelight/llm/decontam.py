@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, row_key, scratch
+from .common import apart, lower_ascii, row_key, scratch
 
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BROADCAST_ROWS = 200_000
@@ -126,5 +126,9 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    return _hit(docs, benchmark, size).where(~is_contaminated("_n_hit", "_n_words")).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever those are called.
+
+    Null and empty texts have no words and stay, repeated rows are judged alike, and empty tables on either side are fine.
+    """
+    clean = lambda d: _hit(d, benchmark, size).where(~is_contaminated("_n_hit", "_n_words"))
+    return apart(docs, ["doc_id", "text"], clean)

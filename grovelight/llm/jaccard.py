@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.graph import connected_components
 from ..sources.scratch import Scratch
-from .common import part_count, scratch
+from .common import apart, part_count, scratch
 from .grams import chunks, in_bytes, mixed, pack, set_digest, shingle_set, spread, squeezed, unpack, words_in
 
 BUCKET_BYTES = 8 << 20
@@ -373,8 +373,13 @@ def _own(sets: DataFrame, components: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that remain when one document of each component stays: the one that names it.
 
-    Rows without an id can't be told apart by name and all stay. Of rows that repeat an id and a text, one stays.
+    Rows without an id can't be told apart by name and all stay. Of rows that repeat an id and a text, one stays. Null and empty texts are
+    linked with nothing and stay; other columns are kept, whatever they are called; an empty table stays empty.
     """
+    return apart(docs, ["doc_id", "text"], lambda d: _heads(d, k, percent))
+
+
+def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
     found = similar_components(docs, k, percent)
     heads = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_h_id"))
     named = docs.join(heads.distinct(), F.col("doc_id") == F.col("_h_id"), "left_semi")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import ship_package
+from .common import apart
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -143,6 +144,10 @@ def identify_held_out(docs: DataFrame, folds: int = 3, fold: int = 1, **settings
 
 
 def in_known_language(docs: DataFrame, folds: int = 3, fold: int = 1, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns, learned as ``identify_held_out`` learns."""
+    """The rows of ``docs`` that are not rejected, with all their columns, learned as ``identify_held_out`` learns.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; other columns are kept, whatever they are called; an
+    empty table stays empty.
+    """
     dictionaries = learn(docs.where(~held_out(F.col("doc_id"), folds, fold)))
-    return _judged(docs, dictionaries, **settings).where(~F.col("_rejected")).select(*docs.columns)
+    return apart(docs, ["doc_id", "text"], lambda d: _judged(d, dictionaries, **settings).where(~F.col("_rejected")))

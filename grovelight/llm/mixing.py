@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import NOT_SPACE, salt_of, salted, scratch
+from .common import NOT_SPACE, apart, free_name, salt_of, salted, scratch
 
 SALTS = 32
 ROWS_PER_RANGE = 50_000
+KEY = ("doc_id", "source", "copy", "size")
 
 
 def word_count(text: Column) -> Column:
@@ -66,8 +67,8 @@ def mix(
 
     A document of a source with target t and size s is expected t / s times: the whole part is certain, the rest
     is its inclusion probability p in a sample of fixed size in words. Documents are ranked by
-    (u / (1 - u)) / (p / (1 - p)), u being a hash of the document, and taken in that order while they fit; one more
-    document, the best fit, fills what is left. ``odds`` names a positive column that multiplies the documents'
+    (u / (1 - u)) / (p / (1 - p)), u being a hash of the document, and taken in that order while they fit. Then the documents that fit
+    into what is left are taken in the same order, again and again until none fits, and one more document, the best fit, ends it. ``odds`` names a positive column that multiplies the documents'
     inclusion odds and makes them unequal within a source; they are always unequal between sources.
 
     ``docs`` has doc_id, source, text. Null text has size 0 and is taken 0 words; a null source is a source; repeated rows
@@ -107,30 +108,31 @@ def mix(
         .withColumn("even", F.col("drawn") / F.col("odds"))
         .withColumn("range", F.floor(F.col("ranges") * (F.col("even") / (1 + F.col("even")))))
     )
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranked.groupBy("source", "range")
-        .agg(F.sum("size").alias("held"))
-        .select("source", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
-    )
-    inside = W.partitionBy("source", "range").orderBy("rank", "doc_id", "copy").rowsBetween(W.unboundedPreceding, 0)
-    o = offsets.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), "offset")
-    filled = place.cut(
-        ranked.withColumn("inside", F.sum("size").over(inside))
-        .join(o, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
-        .withColumn("reached", F.col("inside") + F.col("offset"))
-        .withColumn("drawn_in", (F.col("p") > 0) & (F.col("reached") <= F.col("need")))
-        .select(
-            "doc_id", "source", "copy", "size", "salt", "source_size", "target", "certain", "p", "need", "rank", "reached", "drawn_in"
+    base = place.cut(
+        ranked.select(
+            "doc_id", "source", "copy", "size", "salt", "source_size", "target", "certain", "rank", "range",
+            ((F.col("p") > 0) & (F.col("size") > 0)).alias("open"),
         ),
         "ranked",
     )
-    gaps = filled.groupBy("source").agg(
-        (F.max("need") - F.coalesce(F.max(F.when(F.col("drawn_in"), F.col("reached"))), F.lit(0))).alias("gap")
-    )
+    gaps = plan.select("source", F.col("need").alias("gap"))
+    left = base.where("open").select(*KEY, "salt", "rank", "range")
+    while True:  # what does not fit now never will: gaps only shrink
+        fitting = _by_source(left, gaps).where(F.col("size") <= F.col("gap"))
+        tried = place.cut(_running(fitting).withColumn("drawn", F.col("reached") <= F.col("gap")).drop("reached", "gap"), "tried", keep=2)
+        new = place.cut(tried.where("drawn").select(*KEY), "drawn")
+        if new.isEmpty():
+            break
+        used = new.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
+        gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left")
+        gaps = place.cut(gaps.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps", keep=2)
+        left = tried.where("not drawn").drop("drawn")
+    drawn = place.all_of("drawn").select(*[F.col(c).alias(f"d_{c}") for c in KEY], F.lit(True).alias("drawn"))
+    on = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in KEY]
+    filled = base.join(drawn, on, "left").drop(*[f"d_{c}" for c in KEY]).withColumn("drawn", F.coalesce("drawn", F.lit(False)))
     gapped = _by_source(filled, gaps)
     fit = (
-        gapped.where(~F.col("drawn_in") & (F.col("p") > 0) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
+        gapped.where(F.col("open") & ~F.col("drawn") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
         .groupBy("source")
         .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "copy", "size")).alias("fit"))
         .select("source", F.col("fit.doc_id").alias("fit_id"), F.col("fit.copy").alias("fit_copy"), F.col("fit.size").alias("fit_size"))
@@ -139,9 +141,9 @@ def mix(
         F.col("doc_id").eqNullSafe(F.col("fit_id")) & (F.col("copy") == F.col("fit_copy")) & (F.col("size") == F.col("fit_size")),
         F.lit(False),
     )
-    copies = F.col("certain").cast("int") + (F.col("drawn_in") | chosen).cast("int")
+    copies = F.col("certain").cast("int") + (F.col("drawn") | chosen).cast("int")
     return (
-        _by_source(filled, fit, "left")
+        _by_source(filled, place.cut(fit, "fit"), "left")
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
         .select(
             "doc_id", "source", "copy", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
@@ -149,6 +151,19 @@ def mix(
     )
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """``reached``: the words up to and with each row in its source's rank order; ranges of ranks keep a hot source in many tasks."""
+    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy("source", "range").agg(F.sum("size").alias("held")).select(
+        F.col("source").alias("o_source"), F.col("range").alias("o_range"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset")
+    )
+    inside = W.partitionBy("source", "range").orderBy("rank", "doc_id", "copy").rowsBetween(W.unboundedPreceding, 0)
+    met = rows.withColumn("inside", F.sum("size").over(inside)).join(
+        offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range"))
+    )
+    return met.withColumn("reached", F.col("inside") + F.col("offset")).drop("inside", "offset", "o_source", "o_range")
+
+
 def _by_source(rows: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
     """Join one row per source to the documents; the salt spreads a hot source."""
     right = salted(by.withColumnRenamed("source", "s_source"), SALTS, "s_salt")
@@ -159,10 +174,17 @@ def _by_source(rows: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``copies``, how often each is taken.
 
-    Which of several rows with one id, source and size is which copy does not matter to the mix; they are numbered by text.
+    Where ``docs`` has a column ``copies`` itself, the new one is ``copies_taken``. Which of several rows with one id, source and size is which
+    copy does not matter to the mix; they are numbered by text. Null texts and empty ones are never taken; an empty table stays empty.
     """
+    out = free_name("copies", docs, "copies_taken")
+    odds = [settings["odds"]] if settings.get("odds") else []
+    return apart(docs, ["doc_id", "text", "source", *odds], lambda d: _mixed(d, settings), added=(("copies", out),))
+
+
+def _mixed(docs: DataFrame, settings: dict) -> DataFrame:
     taken = mix(docs, **settings).where("copies > 0")
-    t = taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "size", "copy")], "copies")
+    t = taken.select(*[F.col(c).alias(f"t_{c}") for c in KEY], "copies")
     same = W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
     rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_copy", F.row_number().over(same))
     on = (

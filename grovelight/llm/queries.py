@@ -112,7 +112,7 @@ _U = "(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' ||
 
 SQL = {
     "op1_pareto_mix": f"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), copied AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM sized),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM copied GROUP BY source),
@@ -132,16 +132,17 @@ drawn AS (
     r.target - floor(r.rate) * r.source_size AS need, {_U.replace('source,', 'c.source,')} AS u
   FROM copied c JOIN rated r ON c.source IS NOT DISTINCT FROM r.source
 ), ranked AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM drawn),
-reached AS (
-  SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, copy ROWS UNBOUNDED PRECEDING) <= need AS chosen FROM ranked
-), gaps AS (SELECT source, max(need) - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM reached GROUP BY source),
-fits AS (
-  SELECT r.*, g.gap, row_number() OVER (PARTITION BY r.source, r.chosen ORDER BY abs(g.gap - size), rank, doc_id, copy) AS place
-  FROM reached r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
-)
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (certain + CASE WHEN chosen OR (p > 0 AND place = 1 AND abs(gap - size) < gap) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-FROM fits""",
+fill AS (
+  SELECT 0 AS round, doc_id, source, copy, size, rank, CAST(need AS DOUBLE) AS gap, false AS chosen FROM ranked WHERE p > 0 AND size > 0
+  UNION ALL
+  SELECT round + 1, doc_id, source, copy, size, rank, gap - coalesce(sum(size) FILTER (fits AND upto <= gap) OVER (PARTITION BY source), 0), chosen OR (fits AND upto <= gap)
+  FROM (SELECT *, sum(size) FILTER (fits) OVER (PARTITION BY source ORDER BY rank, doc_id, copy ROWS UNBOUNDED PRECEDING) AS upto, bool_or(fits) OVER () AS more
+    FROM (SELECT *, NOT chosen AND size <= gap AS fits FROM fill)) WHERE more
+), filled AS (SELECT * FROM fill WHERE round = (SELECT max(round) FROM fill)),
+fits AS (SELECT *, row_number() OVER (PARTITION BY source, chosen ORDER BY abs(gap - size), rank, doc_id, copy) AS place FROM filled)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+  CAST(CASE WHEN r.size = 0 THEN 0 ELSE r.size * (certain + CASE WHEN chosen OR (place = 1 AND abs(gap - f.size) < gap) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM ranked r LEFT JOIN fits f ON r.doc_id IS NOT DISTINCT FROM f.doc_id AND r.source IS NOT DISTINCT FROM f.source AND r.copy = f.copy AND r.size = f.size""",
     "op2_decontaminate": """
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words

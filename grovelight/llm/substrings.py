@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, part_count, scratch
+from .common import apart, SPACE, part_count, scratch
 from .grams import chunks, in_bytes, ngrams, pack, slices, unpack, words_in
 
 BUCKET_BYTES = 4 << 20
@@ -225,8 +225,15 @@ def _stripped(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def with_kept_text(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
-    """``docs`` with the repeats taken out of ``text``; a text that loses nothing is left as it is. ``n_chars``, if there, follows."""
-    found = _stripped(docs, length, seed)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    columns = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return found.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """``docs`` with the repeats taken out of ``text``; a text that loses nothing is left as it is. ``n_chars``, if there, follows.
+
+    Null texts stay null; other columns are kept, whatever they are called; an empty table stays empty.
+    """
+
+    def work(d: DataFrame) -> DataFrame:
+        found = _stripped(d, length, seed)
+        text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+        columns = {"text": text} | ({"n_chars": F.length(text).cast(dict(d.dtypes)["n_chars"])} if "n_chars" in d.columns else {})
+        return found.select(*[columns.get(c, F.col(c)).alias(c) for c in d.columns])
+
+    return apart(docs, ["doc_id", "text", "n_chars"], work)
