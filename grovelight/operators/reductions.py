@@ -196,16 +196,23 @@ def diffusion_potential(points: DataFrame, operator: DataFrame, t: int = 5, land
     return axes.select(F.col("i").alias("id"), F.array(*[F.col(str(a)) for a in range(k)]).alias("vec"))
 
 
+TURNS = 12
+
+
 def _draws(rows: DataFrame, keys: list[str], n: int, count: int, seed: int, tag: str) -> DataFrame:
     """``min(count, n)`` different pseudo-random positions below ``n`` per row, repeatable: adds ``nth`` and ``pos``.
 
-    A row's positions start anywhere and go on in steps of a prime that does not divide ``n``, so none comes twice.
+    Every row has its own permutation of the positions, and its draws are where the first ``count`` go. In each turn a position and
+    its mirror image about a secret centre change places or stay, by a hash of the larger of the two; that is a permutation for every ``n``.
     """
-    step = next(p for p in (1_000_003, 998_244_353, 2_147_483_647) if n % p)
-    start = F.pmod(hashed(*[F.col(k) for k in keys], F.lit(f"{tag}:{seed}")), F.lit(max(n, 1)))
-    return rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1)))).withColumn(
-        "pos", F.pmod(start + F.col("nth") * F.lit(step), F.lit(max(n, 1))).cast("long")
-    )
+    size = F.lit(max(n, 1))
+    keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(f"{tag}:{seed}"))))
+    drawn = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1)))).withColumn("pos", F.col("nth").cast("long"))
+    for turn in range(TURNS):
+        mirror = F.pmod(hashed(F.col("_key"), F.lit(turn)) - F.col("pos"), size)
+        swap = hashed(F.col("_key"), F.lit(turn), F.greatest("pos", mirror)) % 2 == 1
+        drawn = drawn.withColumn("pos", F.when(swap, mirror).otherwise(F.col("pos")))
+    return drawn.drop("_key")
 
 
 def _local_scale(near: DataFrame) -> DataFrame:
