@@ -315,11 +315,12 @@ def cut_by_height(merges: DataFrame, levels: DataFrame, index: Indexed | None =
 
 
 def cut_by_size(tree: DataFrame, levels: DataFrame, index: Indexed | None = None) -> DataFrame:
-    """Open the ``k - 1`` largest nodes: always the largest cluster is split until there are ``k``."""
+    """Always the largest cluster is split into its children, until there are ``k`` clusters or, where nodes have several children, more."""
     index = index or index_tree(tree)
     inner = index.nodes.where("NOT is_leaf").select("node", "size")
-    placed = with_position(inner, F.struct((-F.col("size")).alias("s"), F.col("node")), "pos")
-    placed = index.scratch.cut(placed, "sizes")
+    grown = index.nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg((F.count(F.lit(1)) - 1).alias("more"))
+    placed = with_running_total(inner.join(grown, "node"), F.struct((-F.col("size")).alias("s"), F.col("node")), F.col("more"), "pos")
+    placed = index.scratch.cut(placed.select("node", "pos"), "sizes")
     wanted = levels.agg(F.collect_set("k").alias("ks"))  # one k per label level
     splits = placed.withColumn("k", F.explode(wanted.scalar())).where(F.col("pos") < F.col("k") - 1)
     return _split_levels(index, splits.select("k", "node"), levels)

@@ -14,9 +14,14 @@ def flat_level_scores(merges: DataFrame, labels: DataFrame, depth: int, by_size:
     ``level`` is the number of clusters asked for; label levels with the same number stay apart by ``level_idx``.
     """
     index = index or tr.index_tree(tr.tree_from_merges(merges))
+    return _level_scores(labels, depth, index, None if by_size else merges)
+
+
+def _level_scores(labels: DataFrame, depth: int, index: tr.Indexed, merges: DataFrame | None) -> DataFrame:
+    """Cuts by height where there are merges, else by size."""
     levels = levels_for(labels, depth).select("level_idx", F.col("n_clusters").alias("k"))
     asked = levels.select("k").distinct()
-    cuts = tr.cut_by_size(index.nodes, asked, index) if by_size else tr.cut_by_height(merges, asked, index)
+    cuts = tr.cut_by_size(index.nodes, asked, index) if merges is None else tr.cut_by_height(merges, asked, index)
     long = labels.unpivot(["id"], [f"category_{i}" for i in range(depth)], "category", "target").select(
         "id", F.regexp_extract("category", r"(\d+)$", 1).cast("int").alias("level_idx"), "target"
     )
@@ -30,17 +35,28 @@ def score_levels(
     merges: DataFrame, labels: DataFrame, depth: int, model: str, reduction: str, clusterer: str, by_size: bool = False
 ) -> DataFrame:
     """One score row per label level: flat scores of the cut, exact tree scores of the whole tree."""
-    tree = tr.tree_from_merges(merges)
+    return _scored(tr.tree_from_merges(merges), None if by_size else merges, labels, depth, model, reduction, clusterer)
+
+
+def score_tree(tree: DataFrame, labels: DataFrame, depth: int, model: str, reduction: str, clusterer: str) -> DataFrame:
+    """The same rows for a tree whose nodes may have any number of children: it is cut by splitting its largest clusters."""
+    return _scored(tree, None, labels, depth, model, reduction, clusterer)
+
+
+def _scored(
+    tree: DataFrame, merges: DataFrame | None, labels: DataFrame, depth: int, model: str, reduction: str, clusterer: str
+) -> DataFrame:
     index = tr.index_tree(tree)
     truth = index.scratch.cut(tr.ground_truth_tree(labels, depth), "truth")
-    flat = index.scratch.cut(flat_level_scores(merges, labels, depth, by_size, index), "flat")
+    flat = index.scratch.cut(_level_scores(labels, depth, index, merges), "flat")
+    apart = tr.clade_difference(index.nodes, truth).select("difference")
     whole = None
     for number in range(depth):
         one = labels.select("id", F.col(f"category_{number}").alias("label"))
-        row = ts.dendrogram_purity(tree, one, index).withColumn("lca_f1", ts.lca_f1(tree, truth, one, index).scalar())
+        row = ts.dendrogram_purity(index.nodes, one, index).withColumn("lca_f1", ts.lca_f1(index.nodes, truth, one, index).scalar())
         row = row.withColumn("level_idx", F.lit(number))
         whole = row if whole is None else whole.unionByName(row)
-    return flat.join(whole, "level_idx").select(
+    return flat.join(whole, "level_idx").withColumn("tree_difference", apart.scalar()).select(
         F.lit(model).alias("embedding_model"), F.lit(reduction).alias("reduction_method"), F.lit(clusterer).alias("cluster_method"),
-        "level_idx", "level", "fm", "rand", "ari", "ami", "dendrogram_purity", "lca_f1",
+        "level_idx", "level", "fm", "rand", "ari", "ami", "dendrogram_purity", "lca_f1", "tree_difference",
     )

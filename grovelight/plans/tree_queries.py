@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as c, graph as g, pivots as pv, tree_scores as ts, trees as tr
-from .benchmark import score_levels
+from ..sources.scratch import Scratch
+from .benchmark import score_levels, score_tree
+from .evaluation import CLUSTERERS, evaluate
 from .relations import HIER_CTE, POINTS_CTE, hierarchy, point_labels, points, table
 
 
@@ -100,6 +102,18 @@ def _merges(df):
     return df.select("node", "left", "right", F.round("height", 6).alias("height"), "size")
 
 
+def _nary_scores(s, d):
+    """The tree of market segments and regions, scored against regions and nations."""
+    labels = hierarchy(s, d).select("id", "category_0", "category_1")
+    scored = score_tree(_markets(s, d), labels, 2, "given", "None", "Markets")
+    return scored.select("level_idx", F.col("level").cast("long").alias("level"), *[F.round(m, 6).alias(m) for m in ("fm", "rand", "ari")], "tree_difference")
+
+
+def _evaluation(s, d):
+    folder = f"{Scratch(s).root}/evaluation"
+    return evaluate(points(s, d), point_labels(s, d), 2, folder, "given", clusterers={n: CLUSTERERS[n] for n in ("HDBSCAN", "KMeansTree")})
+
+
 QUERIES = {
     "T1_ground_truth_tree": lambda s, d: _truth(s, d).select("node", "parent", "size", "is_leaf"),
     "T2_ward_tree": lambda s, d: _merges(c.ward_tree(points(s, d))),
@@ -135,6 +149,8 @@ QUERIES = {
     ),
     "H4_lca_f1_sampled": lambda s, d: ts.lca_f1_sampled(_places(s, d), _markets(s, d), _market_labels(s, d)).withColumn("lca_f1", F.round("lca_f1", 6)),
     "H5_lca_f1": lambda s, d: ts.lca_f1(_places(s, d), _markets(s, d), _market_labels(s, d)).select(F.round("lca_f1", 6).alias("lca_f1")),
+    "F9_score_tree": _nary_scores,
+    "F9_evaluation_run": _evaluation,
     "F9_score_levels": lambda s, d: score_levels(c.single_linkage_tree(points(s, d)), point_labels(s, d), 2, "given", "Raw", "HDBSCAN"),
 }
 
@@ -244,6 +260,18 @@ a AS (SELECT DISTINCT leaves FROM (SELECT anc, string_agg(CAST(up.node AS VARCHA
 b AS (SELECT DISTINCT leaves FROM (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS leaves FROM hier GROUP BY GROUPING SETS ((category_2), (category_2, category_0), ()))),
 x AS (SELECT count(*) AS only_a FROM a WHERE leaves NOT IN (SELECT leaves FROM b)), y AS (SELECT count(*) AS only_b FROM b WHERE leaves NOT IN (SELECT leaves FROM a))
 SELECT only_a, only_b, only_a + only_b AS difference FROM x, y""",
+    "F9_score_tree": f"""WITH {HIER_CTE},
+paired AS (SELECT 0 AS level_idx, category_0 AS target, category_2 AS pred FROM hier UNION ALL SELECT 1, category_1, category_2 || ':' || category_0 FROM hier),
+cells AS (SELECT level_idx, sum(m * (m - 1) / 2) AS t FROM (SELECT level_idx, target, pred, CAST(count(*) AS DOUBLE) AS m FROM paired GROUP BY ALL) GROUP BY 1),
+targets AS (SELECT level_idx, count(*) AS level, sum(m * (m - 1) / 2) AS p, sum(m) AS n FROM (SELECT level_idx, target, CAST(count(*) AS DOUBLE) AS m FROM paired GROUP BY ALL) GROUP BY 1),
+preds AS (SELECT level_idx, sum(m * (m - 1) / 2) AS q FROM (SELECT level_idx, pred, CAST(count(*) AS DOUBLE) AS m FROM paired GROUP BY ALL) GROUP BY 1),
+all_of AS (SELECT *, n * (n - 1) / 2 AS pairs FROM cells JOIN targets USING (level_idx) JOIN preds USING (level_idx)),
+a AS (SELECT DISTINCT leaves FROM (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS leaves FROM hier GROUP BY GROUPING SETS ((category_2), (category_2, category_0), ()))),
+b AS (SELECT DISTINCT leaves FROM (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS leaves FROM hier GROUP BY GROUPING SETS ((category_0), (category_0, category_1), ())))
+SELECT CAST(level_idx AS INTEGER) AS level_idx, level, round(t / sqrt(p * q), 6) AS fm, round((pairs + 2 * t - p - q) / pairs, 6) AS rand,
+  round((t - p * q / pairs) / ((p + q) / 2 - p * q / pairs), 6) AS ari,
+  (SELECT count(*) FROM a WHERE leaves NOT IN (SELECT leaves FROM b)) + (SELECT count(*) FROM b WHERE leaves NOT IN (SELECT leaves FROM a)) AS tree_difference
+FROM all_of""",
     "T24_connected_components": _component_sql("SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs) WHERE r <= 2"),
     "H3_dendrogram_purity": f"""WITH {_LABEL_COUNTS}
 SELECT round(sum(t) / (SELECT sum(m * (m - 1) / 2) FROM al), 6) AS dendrogram_purity FROM (
