@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import l2_normalize, square_distance
 from ..functions.ordering import with_position
@@ -207,12 +207,16 @@ def _draws(rows: DataFrame, keys: list[str], n: int, count: int, seed: int, tag:
     """
     size = F.lit(max(n, 1))
     keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(f"{tag}:{seed}"))))
-    drawn = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1)))).withColumn("pos", F.col("nth").cast("long"))
-    for turn in range(TURNS):
-        mirror = F.pmod(hashed(F.col("_key"), F.lit(turn)) - F.col("pos"), size)
-        swap = hashed(F.col("_key"), F.lit(turn), F.greatest("pos", mirror)) % 2 == 1
-        drawn = drawn.withColumn("pos", F.when(swap, mirror).otherwise(F.col("pos")))
-    return drawn.drop("_key")
+    numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1))))
+
+    def moved(pos: Column, turn: Column) -> Column:
+        mirror = F.pmod(hashed(F.col("_key"), turn) - pos, size).cast("long")
+        swap = hashed(F.col("_key"), turn, F.greatest(pos, mirror)) % 2 == 1
+        return F.when(swap, mirror).otherwise(pos)
+
+    # one fold, not a column per turn: those would be copied into each other by the optimizer
+    turns = F.sequence(F.lit(0), F.lit(TURNS - 1))
+    return numbered.withColumn("pos", F.aggregate(turns, F.col("nth").cast("long"), moved)).drop("_key")
 
 
 def _local_scale(near: DataFrame) -> DataFrame:
