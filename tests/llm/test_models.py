@@ -100,26 +100,115 @@ def test_main_text(spark):
     assert html_tree.extract(frame.where("false"), html_tree.learn(frame.where("false"))).count() == 0
 
 
-def test_messages_give_the_exact_marginals():
-    """Sum-product on a small tree against the sum over all labelings."""
+def _model(*pages):
+    counts = {}
+    for page in pages:
+        nodes = html_tree.parse(page)
+        states = html_tree.label(nodes)
+        if states:
+            html_tree.tally(nodes, states, counts)
+    model = html_tree.fit(counts)
+    for _ in range(4):
+        again = {}
+        for page in pages:
+            nodes = html_tree.parse(page)
+            states = html_tree.label(nodes)
+            if states:
+                html_tree.tally(nodes, states, again, model)
+        model = html_tree.fit(again)
+    return model
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_messages_give_the_exact_marginals(known):
+    """Sum-product on a small tree against the sum over all labelings, also with some states known."""
     import itertools
     import math
 
-    nodes = html_tree.parse('<body><div class="ad"><p>buy now</p></div><div><p>some words that say a thing or two.</p>loose</div></body>')
+    nodes = html_tree.parse('<body><div class="ad"><p>buy now</p></div><article><p>some words that say a thing or two.</p>loose</article></body>')
     texts = {i: html_tree.clean(n) for i, n in enumerate(nodes) if not n.tag}
-    model = html_tree.fit({})
-    weights, ones = 0.0, [0.0] * len(nodes)
-    for states in itertools.product((0, 1), repeat=len(nodes)):
-        w = model.root[states[0]]
+    found, kind, model = html_tree.evidence(nodes, texts), html_tree.kinds(nodes), _model(PAGE)
+    fixed = [html_tree.WRAPPER, html_tree.WRAPPER] + [html_tree.LATENT] * (len(nodes) - 2) if known else None
+    weights, ones, pairs = 0.0, np.zeros((len(nodes), 3)), np.zeros((len(nodes), 3, 3))
+    for states in itertools.product(html_tree.STATES, repeat=len(nodes)):
+        if known and any(f not in (html_tree.LATENT, s) for f, s in zip(fixed, states)):
+            continue
+        w = model.root[kind[0]][states[0]]
         for i, n in enumerate(nodes):
-            for f in n.features or html_tree._text_features(texts[i], n.linked):
-                w += model.seen.get(f, (0.0, 0.0))[states[i]]
+            w += sum(found[i][1] * model.seen.get(f, (0.0, 0.0, 0.0))[states[i]] for f in found[i][0])
             if i:
-                w += model.step["element" if n.tag else "text"][states[n.parent]][states[i]]
+                w += model.step[kind[i]][states[n.parent]][states[i]]
         weights += math.exp(w)
         for i, s in enumerate(states):
-            ones[i] += s * math.exp(w)
-    assert html_tree.marginals(nodes, texts, model) == pytest.approx([x / weights for x in ones])
+            ones[i, s] += math.exp(w)
+            if i:
+                pairs[i, states[nodes[i].parent], s] += math.exp(w)
+    belief, both = html_tree.beliefs(nodes, found, model, fixed)
+    np.testing.assert_allclose(belief, ones / weights, atol=1e-12)
+    np.testing.assert_allclose(both[1:], pairs[1:] / weights, atol=1e-12)
+
+
+BODY = "<h1>A head</h1><p>Some words that say a thing or two.</p>{}<p>And a last sentence that ends it.</p>"
+TEXT = "A head Some words that say a thing or two. {}And a last sentence that ends it."
+
+
+def _page(inner="", article='<article class="{}">', name="x", beside=""):
+    return f'<body><nav><a href="/">Home</a></nav>{article.format(name)}{BODY.format(inner)}</article>{beside}<footer>by host</footer></body>'
+
+
+def test_learning_decides_over_the_word_list():
+    """A listed word that pages use for their article is kept, an unlisted one that they use elsewhere goes."""
+    boxes = '<div class="zork"><p>You may want to know this as well.</p></div>'
+    learned = _model(*[_page(name="widget", beside=boxes.replace("know", f"know {i}")) for i in range(80)])
+    bare = html_tree.fit({})
+    listed = f'<body><div class="widget">{BODY.format("")}</div></body>'
+    assert html_tree.main_text(listed, learned) == TEXT.format("")
+    assert html_tree.main_text(listed, bare) == ""
+    unlisted = f"<body><div>{BODY.format('')}</div>{boxes}</body>"
+    assert html_tree.main_text(unlisted, learned) == TEXT.format("")
+    assert html_tree.main_text(unlisted, bare) != TEXT.format("")
+    assert html_tree.main_text(_page(boxes), learned) == TEXT.format("")  # within an article too, though structure says nothing there
+
+
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<div class="ad"><p>Buy this now, it is a very good thing.</p></div>', ""),
+        ('<section class="comments">' + "<p>I think this is a very good article, I say so.</p>" * 30 + "</section>", ""),
+        ("<article><p>A nested article is a reader's comment.</p></article>", ""),
+        ("<aside><p>See this one too.</p></aside>", ""),
+        ("<form>Your mail <p>for news</p></form>", ""),
+        ('<div class="more"><p>More of it here.</p></div>', "More of it here. "),
+        ('<section id="legal"><p>Words on law.</p></section>', "Words on law. "),
+        ("<header><h2>Sub</h2></header>", "Sub "),
+        ("<ul>" + "<li>One</li>" * 12 + "</ul>", "One " * 12),
+        ("<table><tr><td>1<td>2</table>", "1 2 "),
+    ],
+)
+def test_parts_within_the_article(inner, kept):
+    learned = _model(*[_page(beside=f'<div class="ad">Words {i} to sell a thing.</div>') for i in range(60)])
+    for model in (learned, html_tree.fit({})):
+        assert html_tree.main_text(_page(inner, beside="<div>other words outside</div>"), model) == TEXT.format(kept)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def taken(n):
+        start = time.perf_counter()
+        assert html_tree.main_text("<div>" * n + "<p>words here" + "</span></p></em></section>" * n, html_tree.fit({})) in ("", "words here")
+        return time.perf_counter() - start
+
+    taken(1_000)
+    assert taken(64_000) < 24 * taken(8_000)
+
+
+def test_copies_of_a_page_teach_once(spark):
+    """A page that fills most of the table neither crowds out the others nor is parsed more than once."""
+    pages = [(_page(name=f"n{i}", beside='<div class="zork">Words to sell.</div>'),) for i in range(30)] + [(_page(),)] * 3000 + [(None,)]
+    model = html_tree.learn(spark.createDataFrame(pages, "html string").repartition(4), sample=1_000)
+    assert model == html_tree.learn(spark.createDataFrame(pages[:31], "html string"), sample=1_000)
+    assert model.seen["word=zork"][html_tree.MAIN] < -1
 
 
 def _vectors(spark, points):
