@@ -5,14 +5,15 @@ Every operator takes ``by``: columns such as method or level, scored side by sid
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import ln_factorial
+from ..functions.numeric import ln_overlap_chance
 
 EMI_CHUNK = 8192
-EMI_GRID = 16
+EMI_SIZES = 1_000  # different cluster sizes that one side of a grid cell holds
 
 
 def aligned_labels(target: DataFrame, pred: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
@@ -161,8 +162,10 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     a, b, n, m = F.col("a"), F.col("b"), F.col("n"), F.col("m")
     low, high = F.greatest(F.lit(1).cast("long"), a + b - n), F.least(a, b)
     # every size meets every other: both sides are laid out on a grid of cells, so that no task or broadcast holds all of one side
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(EMI_GRID)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(EMI_GRID - 1)))
+    most = sizes_a.select(*by).unionByName(sizes_b.select(*by)).groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    grid = math.ceil(most / EMI_SIZES)
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(grid)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
     rows = sizes_a.join(totals, list(by)).withColumn("_x", cell("a")).withColumn("_y", every)
     columns = sizes_b.withColumn("_y", cell("b")).withColumn("_x", every)
     chunks = (
@@ -172,14 +175,9 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str]) -> DataFrame:
         .repartition("a", "b", "start")
     )
     terms = chunks.withColumn("m", F.explode(F.sequence("start", F.least(F.col("start") + EMI_CHUNK - 1, high))))
-    log_p = (
-        ln_factorial(a) + ln_factorial(b) + ln_factorial(n - a) + ln_factorial(n - b)
-        - ln_factorial(n) - ln_factorial(m) - ln_factorial(a - m) - ln_factorial(b - m)
-        - ln_factorial(n - a - b + m)
-    )
     term = (m / n) * (F.log(n.cast("double")) + F.log(m.cast("double")) - F.log(a.cast("double")) - F.log(b.cast("double")))
     weight = (F.col("times_a") * F.col("times_b")).cast("double")
-    return terms.groupBy(*by).agg(F.sum(weight * term * F.exp(log_p)).alias("emi"))
+    return terms.groupBy(*by).agg(F.sum(weight * term * F.exp(ln_overlap_chance(m, a, b, n))).alias("emi"))
 
 
 def mutual_info_column() -> Column:

@@ -6,13 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from ..functions.ordering import exact_quantiles, value_ranks
+
 
 def numeric_columns(df: DataFrame, besides: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in besides]
 
 
 def median_by(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] | None = None) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in metrics or numeric_columns(df, keys)])
+    """Median of each metric per group (nulls left out), from global ranks: a group may be of any size. Null keys form groups too."""
+    metrics = list(metrics or numeric_columns(df, keys))
+    grouped = df.withColumn("_group", F.struct(*keys)).select("_group", *[F.col(c).cast("double").alias(c) for c in metrics])
+    found = exact_quantiles(grouped.unpivot(["_group"], metrics, "_metric", "_value"), "_value", [0.5], ["_group", "_metric"])
+    wide = found.groupBy("_group").agg(*[F.max(F.when(F.col("_metric") == c, F.col("q0"))).alias(c) for c in metrics])
+    return grouped.select("_group").distinct().join(wide, "_group", "left").select(*[F.col(f"_group.{k}").alias(k) for k in keys], *metrics)
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] | None = None) -> DataFrame:
@@ -33,11 +40,10 @@ def rank_methods(
     """Descending tie-averaged rank per metric. One row per method; each metric is ranked apart."""
     labelled = df.withColumn("label", F.concat_ws(" + ", *parts))
     long = labelled.unpivot(["label"], list(metrics), "metric", "value")
-    order = W.partitionBy("metric").orderBy(F.desc("value"))
-    ties = W.partitionBy("metric", "value")
-    ranked = long.where("value IS NOT NULL").select(
-        "label", "metric", (F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2).alias("r")
-    )
+    rising = value_ranks(long, "value", by=["metric"])
+    all_of = rising.groupBy("metric").agg(F.sum("n").alias("_all"))
+    falling = rising.join(all_of, "metric").select("metric", "value", (F.col("_all") + 1 - F.col("rank")).alias("r"))
+    ranked = long.join(falling, ["metric", "value"]).select("label", "metric", "r")
     wide = ranked.groupBy("label").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"rank_{m}") for m in metrics]
     )

@@ -97,13 +97,15 @@ def with_sizes(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def children_lists(tree: DataFrame) -> DataFrame:
-    """Every node with its children as text, empty for leaves. One row per edge until the last step."""
-    lists = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
-        F.sort_array(F.collect_list("node")).alias("children")
-    )
-    return tree.select("node").join(lists, "node", "left").select(
-        "node", F.coalesce("children", F.array().cast("array<bigint>")).alias("children")
-    )
+    """The ordered children of every node as rows ``(node, position, child)``, from 0; a leaf has one row without a child.
+
+    Positions come from one global order, so a node may have any number of children.
+    """
+    edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("node").alias("child"))
+    placed = with_position(edges, F.struct("node", "child"), "_at")
+    first = placed.groupBy("node").agg(F.min("_at").alias("_first"))
+    lists = placed.join(first, "node").select("node", (F.col("_at") - F.col("_first")).alias("position"), "child")
+    return tree.select("node").join(lists, "node", "left").select("node", "position", "child")
 
 
 def ancestors(tree: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _lcas(s, d):
 
 
 def _children(s, d):
-    return tr.children_lists(_truth(s, d)).select("node", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+    return tr.children_lists(_truth(s, d))
 
 
 def _summary(s, d):
@@ -234,8 +234,8 @@ SELECT k, CAST(1 AS BIGINT) AS size, c_custkey AS first FROM customer, n, k WHER
     "T16_lca": f"""WITH RECURSIVE {_TREE}, p AS (SELECT id AS i, (id * 7 + 1) % n AS j FROM hier, n WHERE id <> (id * 7 + 1) % n)
 SELECT i, j, anc, size FROM (SELECT p.i, p.j, a.anc, tree.size, row_number() OVER (PARTITION BY p.i, p.j ORDER BY a.steps) AS r
   FROM p JOIN up a ON a.node = p.i JOIN up b ON b.node = p.j AND b.anc = a.anc JOIN tree ON tree.node = a.anc) WHERE r = 1""",
-    "T17_children_lists": f"""WITH RECURSIVE {_TREE} SELECT t.node, coalesce(k.children, '') AS children FROM tree t LEFT JOIN (
-  SELECT parent, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS children FROM tree WHERE parent IS NOT NULL GROUP BY 1) k ON k.parent = t.node""",
+    "T17_children_lists": f"""WITH RECURSIVE {_TREE} SELECT t.node, k.position, k.child FROM tree t LEFT JOIN (
+  SELECT parent, node AS child, row_number() OVER (PARTITION BY parent ORDER BY node) - 1 AS position FROM tree WHERE parent IS NOT NULL) k ON k.parent = t.node""",
     "T18_tree_summary": f"""WITH RECURSIVE {_TREE}, d AS (SELECT node, CAST(max(steps) AS BIGINT) AS depth FROM up GROUP BY 1),
 k AS (SELECT parent AS node, count(*) AS kids FROM tree WHERE parent IS NOT NULL GROUP BY 1)
 SELECT depth, count(*) AS nodes, round(avg(kids), 6) AS mean_children, min(kids) AS min_children, max(kids) AS max_children FROM d JOIN k USING (node) GROUP BY 1""",

@@ -1,7 +1,11 @@
 """Hand fixture: n = 8, three target classes, three clusters."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from grovelight.functions.numeric import ln_overlap_chance
 from grovelight.operators import flat_scores as fs
 
 TARGET, PRED = "aaabbbcc", "11222233"
@@ -27,6 +31,24 @@ def test_scores(labels):
     assert flat["ami"] == pytest.approx(0.621821, abs=1e-6)
 
 
+@pytest.mark.parametrize("a, b, n", [(3, 4, 8), (50, 400, 10**6), (1000, 2000, 10**10), (100_000, 300_000, 10**10)])
+def test_overlap_chances_keep_their_digits(spark, a, b, n):
+    """Against exact whole numbers, also where ln(n!) has eleven digits before the point."""
+    from fractions import Fraction
+
+    middle = a * b // n
+    ms = sorted({max(0, a + b - n), middle, middle + 1, min(a, b, middle + 3)})
+    df = spark.createDataFrame([(m, a, b, n) for m in ms], "m long, a long, b long, n long")
+    chance = F.exp(ln_overlap_chance(F.col("m"), F.col("a"), F.col("b"), F.col("n")))
+    for row in df.select("m", chance.alias("p")).collect():
+        m, log = row["m"], Fraction(1)
+        for i in range(m):  # C(a, m) C(n - a, b - m) / C(n, b) with the large factors cancelled
+            log *= Fraction((a - i) * (b - i), (i + 1) * (n - i))
+        exact = float(log)
+        rest = sum(math.log1p(-(a - m) / (n - m - i)) for i in range(b - m))
+        assert row["p"] == pytest.approx(exact * math.exp(rest), rel=1e-9)
+
+
 def test_null_label_gives_null_moments(spark):
     rows = [(0, "a", "1"), (1, None, "1"), (2, "a", "2"), (3, "b", "2")]
     row = fs.fm_moments(spark.createDataFrame(rows, "id long, target string, pred string")).first()

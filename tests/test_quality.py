@@ -30,11 +30,33 @@ def test_shortest_paths_both_ways(spark):
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (0, 2, 5.0), (3, 4, 1.0)], "i long, j long, w double")
     points = spark.range(5)
     want = {(0, 1): 1.0, (0, 2): 3.0, (1, 2): 2.0, (3, 4): 1.0}
-    for limit in (q.EDGE_LIMIT, 0):
-        got = {(r["i"], r["j"]): r["g"] for r in q.shortest_paths(edges, points, limit=limit).collect()}
+    for rows in (1000, 2, 1):
+        got = {(r["i"], r["j"]): r["g"] for r in q.shortest_paths(edges, points, rows=rows).collect()}
         assert len(got) == 10 and {k: v for k, v in got.items() if v is not None} == want
 
 
+def test_shortest_paths_across_many_parts(spark):
+    """Long ways that cross the borders of the parts many times, in two groups, against relaxation in numpy."""
+    rng = np.random.default_rng(5)
+    n, rows, want = 60, [], {}
+    for g in ("a", "b"):
+        d = np.full((n, n), np.inf)
+        np.fill_diagonal(d, 0)
+        for i, j in [(i, i + 1) for i in range(40)] + [tuple(rng.integers(0, 50, 2)) for _ in range(20)]:
+            w = float(rng.random())
+            rows.append((g, int(i), int(j), w))
+            if i != j:
+                d[i, j] = d[j, i] = min(d[i, j], w)
+        for k in range(n):
+            d = np.minimum(d, d[:, k, None] + d[k])
+        want |= {(g, i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}
+    points = spark.range(n).withColumn("g0", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    edges = spark.createDataFrame(rows, "g0 string, i long, j long, w double")
+    got = {(r["g0"], r["i"], r["j"]): r["g"] for r in q.shortest_paths(edges, points, ["g0"], rows=7).collect()}
+    assert got.keys() == want.keys()
+    assert all(v == pytest.approx(want[k]) if v is not None else np.isinf(want[k]) for k, v in got.items())
+
+
 def test_tiles_agree_with_numpy_and_with_groups(spark):
     x = np.random.default_rng(0).normal(size=(90, 6))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
