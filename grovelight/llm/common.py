@@ -70,6 +70,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def part_count(df: DataFrame, bytes_each: int, least: int = 16) -> int:
-    """How many parts a table is dealt into so that the work of one part stays bounded at every size."""
-    return max(least, math.ceil(min(estimated_bytes(df), 2**50) / bytes_each))
+def counted_bytes(df: DataFrame) -> int:
+    """The bytes of all texts and arrays of a table, and 8 for each other value, from one aggregate."""
+    sizes = []
+    for name, kind in df.dtypes:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        size = F.octet_length(c) if kind in ("string", "binary") else 8 * F.greatest(F.size(c), F.lit(0)) if kind.startswith("array") else F.lit(8)
+        sizes.append(F.coalesce(size.cast("long"), F.lit(0)))
+    return int(df.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0)
+
+
+def part_count(df: DataFrame, bytes_each: float, least: int = 16) -> int:
+    """How many parts a table is dealt into so that the work of one part stays bounded at every size.
+
+    Where a table comes from no files Spark takes it for endless (over a PiB); then its bytes are counted.
+    """
+    estimate = estimated_bytes(df)
+    return max(least, math.ceil((estimate if estimate < 2**50 else counted_bytes(df)) / bytes_each))

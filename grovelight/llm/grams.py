@@ -132,6 +132,12 @@ def slices(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
 
 
+def bucket_runs(bucket: np.ndarray) -> zip:
+    """(number, first, last + 1) of each bucket that a sorted array of bucket numbers holds; empty ones cost nothing."""
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    return zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist())
+
+
 def in_bytes(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of equal numbers as (number, length), lengths in one byte: a run of over 255 comes in several parts."""
     new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)

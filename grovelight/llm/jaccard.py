@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..operators.graph import connected_components
 from ..sources.scratch import Scratch
 from .common import apart, part_count, scratch
-from .grams import chunks, in_bytes, mixed, pack, set_digest, shingle_set, spread, squeezed, unpack, words_in
+from .grams import bucket_runs, chunks, in_bytes, mixed, pack, set_digest, shingle_set, spread, squeezed, unpack, words_in
 
 BUCKET_BYTES = 8 << 20
 FLUSH_TOKENS = 1 << 20
@@ -53,19 +53,16 @@ def _spread_tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
     def flushed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int32)
         tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-        bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         bucket, tokens, owner = bucket[order], tokens[order] & _LOW48, owner[order]
-        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
         node_ids = np.array(nodes, np.int64)
         keys, data = [], []
-        for b in range(1 << bits):
-            lo, hi = edges[b], edges[b + 1]
-            if lo < hi:
-                who, counts = in_bytes(owner[lo:hi])
-                here = tokens[lo:hi]
-                keys.append(b)
-                data.append(pack(node_ids[who], sizes[who], counts, here.astype(np.uint32), (here >> np.uint64(32)).astype(np.uint16)))
+        for b, lo, hi in bucket_runs(bucket):
+            who, counts = in_bytes(owner[lo:hi])
+            here = tokens[lo:hi]
+            keys.append(b)
+            data.append(pack(node_ids[who], sizes[who], counts, here.astype(np.uint32), (here >> np.uint64(32)).astype(np.uint16)))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def run(batches):
@@ -331,7 +328,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, orders: i
     spark = docs.sparkSession
     place = scratch(spark)
     parts = part_count(docs, PART_BYTES)
-    bits = min(16, int(part_count(docs, BUCKET_BYTES) - 1).bit_length())
+    bits = int(part_count(docs, BUCKET_BYTES) - 1).bit_length()
     rows = place.cut(shingle_nodes(docs, k), "nodes")
     buckets = _spread_tokens(docs, k, bits).groupBy("bucket").applyInArrow(_shared_tokens(bits, parts), "part int, bucket int, data array<binary>")
     sets = place.cut(buckets.groupBy("part").applyInArrow(_ordered_sets(percent), SETS), "sets")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import apart, SPACE, part_count, scratch
-from .grams import chunks, in_bytes, ngrams, pack, slices, unpack, words_in
+from .grams import bucket_runs, chunks, in_bytes, ngrams, pack, slices, unpack, words_in
 
 BUCKET_BYTES = 4 << 20
 FLUSH_CHUNKS = 8
@@ -48,26 +48,23 @@ def _anchors(docs: DataFrame, length: int, seed: int, bits: int) -> DataFrame:
 
     def flushed(ids: np.ndarray, versions: np.ndarray, parts: list) -> pa.RecordBatch:
         anchor, row, start, count, windows = (np.concatenate(x) for x in zip(*parts))
-        bucket = (anchor >> np.uint64(64 - bits)).astype(np.uint16)
+        bucket = (anchor >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         windows = windows[_ragged(slices(count)[:-1][order], count[order])] & _LOW48
         bucket, anchor, row, start, count = bucket[order], anchor[order] & _LOW48, row[order], start[order], count[order]
-        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
         bounds = slices(count)
         keys, out = [], []
-        for b in range(1 << bits):
-            lo, hi = edges[b], edges[b + 1]
-            if lo < hi:
-                who, held = in_bytes(row[lo:hi])
-                a, w = anchor[lo:hi], windows[bounds[lo] : bounds[hi]]
-                keys.append(b)
-                out.append(
-                    pack(
-                        ids[who], versions[who], held,
-                        a.astype(np.uint32), (a >> np.uint64(32)).astype(np.uint16), start[lo:hi].astype(np.int32), count[lo:hi].astype(np.uint8),
-                        w.astype(np.uint32), (w >> np.uint64(32)).astype(np.uint16),
-                    )
-                )
+        for b, lo, hi in bucket_runs(bucket):
+            who, held = in_bytes(row[lo:hi])
+            a, w = anchor[lo:hi], windows[bounds[lo] : bounds[hi]]
+            keys.append(b)
+            out.append(
+                pack(
+                    ids[who], versions[who], held,
+                    a.astype(np.uint32), (a >> np.uint64(32)).astype(np.uint16), start[lo:hi].astype(np.int32), count[lo:hi].astype(np.uint8),
+                    w.astype(np.uint32), (w >> np.uint64(32)).astype(np.uint16),
+                )
+            )
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
 
     def run(batches):
@@ -186,7 +183,7 @@ def repeats(docs: DataFrame, length: int = 13, seed: int = 5) -> DataFrame:
     An anchor's group is worked on in one task, but packed (about 60 bytes an occurrence), and no pairs are made.
     """
     parts = part_count(docs, PART_BYTES)
-    bits = min(16, int(part_count(docs, BUCKET_BYTES) - 1).bit_length())
+    bits = int(part_count(docs, BUCKET_BYTES) - 1).bit_length()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_version().alias("version"), F.col("text").cast("string").alias("text"))
     found = _anchors(texts, length, seed, bits).groupBy("bucket").applyInArrow(_extended(parts), "part int, data binary")
     return found.groupBy("part").applyInArrow(_maximal(length), "doc_id long, version int, lo array<int>, hi array<int>")

@@ -5,7 +5,7 @@ import pytest
 import rows
 from pyspark.sql import functions as F
 
-from grovelight.llm import decontam, jaccard, substrings
+from grovelight.llm import common, decontam, jaccard, substrings
 from grovelight.llm.grams import ngrams, words_in
 
 
@@ -33,6 +33,23 @@ def test_components_match_brute_force(spark):
     assert [g[1:] for g in got if g[0] is None] == sorted([(0, None), (len(brute.shingles(dict(data)[9])), 9)], key=repr)
 
 
+@pytest.mark.parametrize("buckets", [2, 16, 70_000])
+def test_any_number_of_buckets(spark, monkeypatch, buckets):
+    """The buckets that shingles and anchors are dealt to, few or more than 16 bits can number, change nothing."""
+    data = [(d, " ".join(t.split()[:400]) if t else t) for d, t in rows.documents()]
+    docs = rows.frame(spark, data)
+    for module in (jaccard, substrings):
+        monkeypatch.setattr(module, "BUCKET_BYTES", common.counted_bytes(docs) / buckets)
+    monkeypatch.setattr(common.part_count, "__defaults__", (2,))
+    assert int(common.part_count(docs, jaccard.BUCKET_BYTES) - 1).bit_length() == (buckets - 1).bit_length()
+    named = [(d, n, c) for (d, _), (n, c) in zip(data, brute.components(data)) if d not in (None, 7)]
+    got = rows.collected(jaccard.similar_components(docs), "doc_id", "n", "component_id")
+    assert [g for g in got if g[0] not in (None, 7)] == sorted(named, key=repr)
+    found = rows.collected(substrings.without_repeats(docs), "doc_id", "kept")
+    monkeypatch.undo()
+    assert found == rows.collected(substrings.without_repeats(docs), "doc_id", "kept")
+
+
 def test_a_group_of_borderline_copies(spark):
     """Copies that differ so much from each other that no single one is linked with all."""
     import random
