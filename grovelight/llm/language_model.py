@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import part_count, scratch
-from .grams import chunks, ngrams, pack, slices, unpack, words_in
+from .grams import bucket_runs, chunks, ngrams, pack, slices, unpack, words_in
 
 GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
@@ -80,17 +82,14 @@ def _requests(order: int, bits: int):
         counts[distinct == 0] = 0
         known = np.zeros(len(distinct), np.uint8)  # which grams are single tokens
         known[levels[0]] = 1
-        edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
         keys, data = [], []
-        for b in range(1 << bits):
-            lo, hi = edges[b], edges[b + 1]
-            if lo < hi:
-                low = distinct[lo:hi] & _LOW48
-                c = counts[lo:hi]
-                keys.append(b)
-                data.append(
-                    pack(low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), np.minimum(c, 255).astype(np.uint8), c[c >= 255], np.packbits(known[lo:hi]))
-                )
+        for b, lo, hi in bucket_runs(distinct >> np.uint64(64 - bits)):
+            low = distinct[lo:hi] & _LOW48
+            c = counts[lo:hi]
+            keys.append(b)
+            data.append(
+                pack(low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), np.minimum(c, 255).astype(np.uint8), c[c >= 255], np.packbits(known[lo:hi]))
+            )
         return pa.table({"bucket": pa.array(keys, pa.int32()), "grp": pa.array([group] * len(keys), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -138,42 +137,71 @@ def _answers(table: pa.Table) -> pa.Table:
     )
 
 
-def automaton(counts: np.ndarray, levels: list[np.ndarray], start: int, bounds: np.ndarray, root: np.ndarray, strength: float):
-    """Arc and failure weights along the texts, as two lists by gram size.
+@dataclass(frozen=True)
+class Automaton:
+    """States are seen histories of up to ``order - 1`` words, numbered like their grams; ``root`` is the empty one.
+
+    A seen gram is an arc from its history's state, found by (state, word). The root has an arc for every word, of the word's number.
+    Each state but the root has a failure arc to the state of the history without its first word.
+    """
 
-    The state after some words is their longest seen history. A seen gram is an arc of its history's state with weight
-    log10((c(gram) + s * p(shorter)) / (c(history) + s)); every state but the root has a failure arc to the state of the history
-    shortened by its first word, with weight log10(s / (c(history) + s)). So all words together have probability 1 in each state.
+    arcs: dict[int, int]  # state * (root + 1) + word -> arc, for all states but the root
+    weight: list[float]  # log10 probability of an arc's last word in its state
+    goes: list[int]  # the state after an arc: the longest seen history
+    fails: list[int]  # the state behind the failure arc
+    falls: list[float]  # weight of the failure arc
+    first: int  # the state before a text's first word
+    root: int
+
+    def walk(self, words: list[int]) -> float:
+        """log10 probability of one text: a single pass from left to right that carries the state."""
+        find, width, root = self.arcs.get, self.root + 1, self.root
+        weight, goes, fails, falls = self.weight, self.goes, self.fails, self.falls
+        total, state = 0.0, self.first
+        for word in words:
+            arc = word if state == root else find(state * width + word)
+            while arc is None:
+                total += falls[state]
+                state = fails[state]
+                arc = word if state == root else find(state * width + word)
+            total += weight[arc]
+            state = goes[arc]
+        return total
+
+
+def automaton(counts: np.ndarray, levels: list[np.ndarray], start: int, bounds: np.ndarray, total: float, vocabulary: int, strength: float) -> Automaton:
+    """The states and arcs that the texts at hand can meet, from the counts of their grams.
+
+    An arc weighs log10((c(gram) + s * p(shorter)) / (c(history) + s)), a failure arc log10(s / (c(history) + s)); the root gives
+    (c + 0.5) / (total + 0.5 * (vocabulary + 1)). So all words together have probability 1 in each state.
     """
-    n = len(root)
-    place = np.arange(n) - np.repeat(slices(np.diff(bounds) - 1)[:-1], np.diff(bounds) - 1)
-    arcs, falls, p = [np.log10(root)], [np.zeros(n)], root
-    for k in range(1, len(levels)):
-        history = np.zeros(n, np.int64)
-        before = counts[levels[k - 1]]
-        history[1:] = before[:-1]
-        history[place == 0] = counts[start] if k == 1 else 0
-        history[place < k - 1] = 0
-        seen = counts[levels[k]]
-        seen = np.where(place < k - 1, 0, seen)
-        p = (seen + strength * p) / (history + strength)
-        arcs.append(np.where(seen > 0, np.log10(p), np.nan))
-        falls.append(np.log10(strength / (history + strength)))
-    return arcs, falls
-
-
-def walk(arcs: list[list[float]], falls: list[list[float]], lo: int, hi: int) -> float:
-    """log10 probability of one text: from left to right, take the longest history's arc or fail to a shorter one."""
-    total, longest = 0.0, len(arcs) - 1
-    for i in range(lo, hi):
-        state = longest
-        weight = arcs[state][i]
-        while weight != weight:  # no arc for this word: follow the failure arc
-            total += falls[state][i]
-            state -= 1
-            weight = arcs[state][i]
-        total += weight
-    return total
+    order, root = len(levels), len(counts)
+    sizes = np.diff(bounds) - 1
+    place = np.arange(sizes.sum()) - np.repeat(slices(sizes)[:-1], sizes)
+    p = np.zeros(root + 1)
+    goes, fails = np.full(root, root), np.full(root, root)
+    arcs: dict[int, int] = {}
+    for size in range(1, order + 1):
+        inside = np.flatnonzero(place >= size - 2)
+        grams, at = np.unique(levels[size - 1][inside], return_index=True)
+        at = inside[at]
+        seen = counts[grams] > 0
+        if size == 1:
+            p[grams] = (counts[grams] + 0.5) / (total + 0.5 * (vocabulary + 1))
+            goes[grams] = np.where(seen & (order > 1), grams, root)
+            continue
+        shorter = levels[size - 2][at]
+        history = np.where((place[at] == 0) & (size == 2), start, levels[size - 2][at - 1])
+        p[grams] = (counts[grams] + strength * p[shorter]) / (counts[history] + strength)
+        goes[grams] = grams if size < order else shorter
+        fails[grams] = shorter
+        keys = history[seen] * (root + 1) + levels[0][at[seen]]
+        arcs.update(zip(keys.tolist(), grams[seen].tolist()))
+    with np.errstate(divide="ignore"):  # START is no arc
+        weight = np.log10(p[:root])
+    falls = np.log10(strength / (counts + strength))
+    first = start if counts[start] > 0 and order > 1 else root
+    return Automaton(arcs, weight.tolist(), goes.tolist(), fails.tolist(), falls.tolist(), int(first), root)
 
 
 def _scores(order: int, strength: float, train_tokens: int, vocabulary: int):
@@ -186,11 +214,9 @@ def _scores(order: int, strength: float, train_tokens: int, vocabulary: int):
         parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("data")), key=lambda x: x[0])
         counts = np.concatenate([_wide(*unpack(d.as_py(), np.uint8, np.int64)) for _, d in parts])
         c = counts[levels[0]]
-        root = (c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1))
-        arcs, falls = automaton(counts, levels, start, bounds, root, strength)
+        model = automaton(counts, levels, start, bounds, train_tokens, vocabulary, strength)
         spans = slices(np.diff(bounds) - 1)
-        base = np.log10(root)
-        as_lists = [x.tolist() for x in arcs], [x.tolist() for x in falls]
+        base = np.log10((c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
         n = np.diff(spans)
         return pa.table(
             [
@@ -199,7 +225,7 @@ def _scores(order: int, strength: float, train_tokens: int, vocabulary: int):
                 pa.array(n, pa.int64()),
                 pa.array(np.add.reduceat(c > 0, spans[:-1], dtype=np.int64), pa.int64()),
                 pa.array([float(base[a:b].sum()) for a, b in zip(spans[:-1], spans[1:])], pa.float64()),
-                pa.array([walk(*as_lists, a, b) for a, b in zip(spans[:-1].tolist(), spans[1:].tolist())], pa.float64()),
+                pa.array([model.walk(levels[0][a:b].tolist()) for a, b in zip(spans[:-1], spans[1:])], pa.float64()),
             ],
             schema,
         )
@@ -215,8 +241,9 @@ def score(docs: DataFrame, order: int = 2, strength: float = 100.0, out: Column
 
     The model is as large as the corpus and is never in one place. Texts are dealt into groups of bounded size; a group
     asks for each of its distinct grams once, buckets of grams add up the counts over all groups and answer in the order asked,
-    and each group then holds its part of the automaton, which every text walks once. A frequent word or pair is
-    asked for once per group, however often it occurs.
+    and each group then holds the states and arcs that its texts can meet, and every text walks them once. A frequent word or pair is
+    asked for once per group, however often it occurs. Only buckets that a group has grams for get a row from it, so there are
+    never more rows than grams, at any size.
 
     Null and empty texts are the end token alone. Repeated rows count and are scored each time; with no training row only unknown
     tokens remain; empty tables and further columns are fine.
@@ -224,7 +251,7 @@ def score(docs: DataFrame, order: int = 2, strength: float = 100.0, out: Column
     place = scratch(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     groups = part_count(docs, GROUP_BYTES, least=8)
-    bits = min(16, max(3, int(part_count(docs, BUCKET_BYTES, least=8) - 1).bit_length()))
+    bits = max(3, int(part_count(docs, BUCKET_BYTES, least=8) - 1).bit_length())
     texts = docs.select(
         "doc_id",
         F.col("text").cast("string").alias("text"),

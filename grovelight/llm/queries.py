@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (
     decontam, html_tree, jaccard, language_id, language_model, licences, mixing, multi_index, simhash, substrings, urls, vector_codes, whitening,
 )
-from .common import table
+from .common import UPPER, table
 
 RULES = [
     ("allow", "org", "/"),
@@ -189,6 +189,32 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM spots ANTI
 counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted USING (doc_id)""",
+    # crc32 from its rule: a table of 256 steps, then one step a digit (ids are ASCII). Grams of two tokens, smoothed by 100 virtual ones.
+    "op9_lm_score": f"""
+WITH steps AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS step
+), texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, doc_id,
+    xor(list_reduce([4294967295] || [CAST(ord(c) AS BIGINT) FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), ''), '') IF c <> ''],
+      lambda a, b: xor(a // 256, step[xor(a % 256, b) + 1])), 4294967295) % 5 = 1 AS held_out,
+    ['s'] || ['w' || w FOR w IN coalesce(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+'), [])] || ['e'] AS tokens
+  FROM documents, steps
+), pairs AS MATERIALIZED (
+  SELECT i, held_out, unnest(tokens[:-2]) AS h, unnest(tokens[2:]) AS w FROM texts
+), ones AS (SELECT w, count(*) AS c FROM pairs WHERE NOT held_out GROUP BY w),
+befores AS (SELECT h, count(*) AS c FROM pairs WHERE NOT held_out GROUP BY h),
+twos AS (SELECT h, w, count(*) AS c FROM pairs WHERE NOT held_out GROUP BY h, w),
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM ones),
+chances AS (
+  SELECT i, o.c IS NOT NULL AS known, (coalesce(o.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p,
+    coalesce(t.c, 0) AS seen, coalesce(b.c, 0) AS before
+  FROM pairs CROSS JOIN total LEFT JOIN ones o ON o.w = pairs.w LEFT JOIN befores b ON b.h = pairs.h LEFT JOIN twos t ON t.h = pairs.h AND t.w = pairs.w
+), sums AS (
+  SELECT i, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, round(fsum(log10(p)), 6) AS base_score,
+    round(fsum(log10((seen + 100.0::DOUBLE * p) / (before + 100.0::DOUBLE))), 6) AS score
+  FROM chances GROUP BY i
+)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM texts JOIN sums USING (i) CROSS JOIN total""",
 }
 
 _QUOTED = lambda text: "'" + text.replace("'", "''") + "'"

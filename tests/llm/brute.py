@@ -20,24 +20,28 @@ def held(doc_id, folds, fold=1):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
 
-def bigram_scores(rows, strength, out):
-    """{row index: (n_tokens, n_known, N, base, score)} of a bigram model with Dirichlet smoothing."""
+def gram_scores(rows, strength, out, order=2):
+    """(n_tokens, n_known, N, base, score) of each row in a model of grams up to ``order``, smoothed by virtual shorter grams."""
     texts = [["<s>", *words(lower(t)), "</s>"] for _, t in rows]
-    one, two, hist = Counter(), Counter(), Counter()
+    grams, after = Counter(), Counter()
     for (d, _), t in zip(rows, texts):
         if not out(d):
-            one.update(t[1:])
-            two.update(zip(t, t[1:]))
-            hist.update(t[:-1])
-    n, v = sum(one.values()), len(one)
+            for i in range(1, len(t)):
+                for k in range(min(order, i + 1)):
+                    grams[tuple(t[i - k : i + 1])] += 1
+                    after[tuple(t[i - k : i])] += 1
+    n, v = after[()], sum(len(g) == 1 for g in grams)
     found = []
     for t in texts:
         base = score = known = 0
-        for h, w in zip(t, t[1:]):
-            p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        for i in range(1, len(t)):
+            c = grams[(t[i],)]
+            p = (c + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            known += one[w] > 0
-            score += math.log10((two[h, w] + strength * p) / (hist[h] + strength))
+            known += c > 0
+            for k in range(1, min(order, i + 1)):
+                p = (grams[tuple(t[i - k : i + 1])] + strength * p) / (after[tuple(t[i - k : i])] + strength)
+            score += math.log10(p)
         found.append((len(t) - 1, known, n, base, score))
     return found
 

@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import rows
 from pyspark.sql import functions as F
@@ -9,24 +10,76 @@ from pyspark.sql import functions as F
 from grovelight.llm import html_tree, language_id, language_model, multi_index
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_scores_match_brute_force(spark, order):
     data = rows.documents()
-    found = language_model.score(rows.frame(spark, data), strength=20.0)
-    expected = brute.bigram_scores(data, 20.0, lambda d: brute.held(d, 5))
+    found = language_model.score(rows.frame(spark, data), order=order, strength=20.0)
+    expected = brute.gram_scores(data, 20.0, lambda d: brute.held(d, 5), order)
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"], r["base_score"], r["score"]) for r in found.collect()), key=repr)
     wanted = sorted(((d, n, k, t, brute.held(d, 5), b, s) for (d, _), (n, k, t, b, s) in zip(data, expected)), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in wanted]
     np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in wanted], rtol=1e-9)
 
 
-def test_every_state_is_a_distribution():
-    """The words that follow a history, seen or not, and the end have probability 1 together, also with three-word grams."""
-    root = np.array([0.5, 0.3, 0.2])  # p of three words after one history, in three one-word texts
-    table = np.array([7, 0, 4, 3, 0, 7])  # counts: START, ?, then the words' pair counts
-    bounds = np.array([0, 2, 4, 6])
-    arcs, falls = language_model.automaton(table, [np.array([1, 1, 1]), np.array([2, 3, 4])], 0, bounds, root, 5.0)
-    total = sum(10 ** language_model.walk([a.tolist() for a in arcs], [f.tolist() for f in falls], i, i + 1) for i in range(3))
-    assert total == pytest.approx(1.0)
+@pytest.mark.parametrize("bucket_bytes", [100_000, 3_000, 5])
+def test_scores_do_not_depend_on_the_number_of_buckets(spark, monkeypatch, bucket_bytes):
+    """From a few buckets to far more than 65,536, where nearly each gram has its own."""
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", bucket_bytes)
+    data = [(i, " ".join(rows.filler(i % 7, 60, 40))) for i in range(60)]
+    found = {r["doc_id"]: r for r in language_model.score(rows.frame(spark, data), order=3).collect()}
+    for (d, _), (n, k, t, b, s) in zip(data, brute.gram_scores(data, 100.0, lambda d: brute.held(d, 5), 3)):
+        assert (found[d]["n_tokens"], found[d]["n_known"], found[d]["train_tokens"]) == (n, k, t)
+        np.testing.assert_allclose([found[d]["base_score"], found[d]["score"]], [b, s], rtol=1e-9)
+
+
+def _machine(texts, order, strength=5.0):
+    """The automaton of texts that are all learned from, and each text as word numbers."""
+    tokens, bounds = language_model._tokens(pa.array(texts))
+    distinct, levels, start = language_model._asked(tokens, bounds, order)
+    counts = np.zeros(len(distinct), np.int64)
+    for index in levels:
+        counts += np.bincount(index, minlength=len(distinct))
+    counts[start], counts[distinct == 0] = len(texts), 0
+    words = levels[0]
+    n = len(words)
+    model = language_model.automaton(counts, levels, start, bounds, n, len(np.unique(words)), strength)
+    spans = np.cumsum([0, *(np.diff(bounds) - 1)])
+    return model, [words[a:b].tolist() for a, b in zip(spans[:-1], spans[1:])]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_state_is_a_distribution(order):
+    """All words together, with the share the root keeps for unseen ones, have probability 1 in each state."""
+    model, texts = _machine(["a b c a b d", "a b c", "b b a", ""], order)
+    words = sorted({w for t in texts for w in t})
+    unseen = 1 - sum(10 ** model.weight[w] for w in words)
+    end = texts[0][-1]
+    over = {model.goes[end], *(model.goes[arc] for key, arc in model.arcs.items() if key % (model.root + 1) == end)}
+    states = {model.first, *model.goes} - {model.root} - over  # nothing follows the end
+    assert states or order == 1
+    for state in states:
+        total, fall, at = 0.0, 0.0, state
+        for w in words:
+            s, x = state, 0.0
+            while s != model.root and (s * (model.root + 1) + w) not in model.arcs:
+                x, s = x + model.falls[s], model.fails[s]
+            total += 10 ** (x + model.weight[w if s == model.root else model.arcs[s * (model.root + 1) + w]])
+        while at != model.root:
+            fall, at = fall + model.falls[at], model.fails[at]
+        assert total + 10**fall * unseen == pytest.approx(1.0)
+
+
+def test_the_walk_carries_its_state():
+    """The same word costs less after a known history than after a break, and the state is the longest seen history."""
+    model, (text, *_) = _machine(["a b c d", "x b y", "x b y"], 3)
+    a, b, c, d, end = text
+    in_context = model.walk([a, b, c]) - model.walk([a, b])
+    alone = model.walk([d, b, c]) - model.walk([d, b])
+    assert in_context > alone
+    state = model.first
+    for w in (a, b):
+        state = model.goes[w if state == model.root else model.arcs[state * (model.root + 1) + w]]
+    assert model.fails[state] == b and model.fails[model.fails[state]] == model.root
 
 
 def test_nothing_to_learn_from(spark):
