@@ -160,12 +160,85 @@ def alpha_decay_operator(points: DataFrame, knn: int = 5, decay: float = 40) ->
     return kernel.join(total, "i").select("i", "j", (F.col("w") / F.col("s")).alias("w"))
 
 
-def diffusion_potential(points: DataFrame, operator: DataFrame, t: int = 5, landmarks: int = 100, k: int = 2, seed: int = 67) -> DataFrame:
+def spectral_entropies(step: DataFrame, steps: int = 100) -> np.ndarray:
+    """Von Neumann entropy of the powers 1 to ``steps`` of an operator ``(a, b, w)``: of its singular values to that power, as shares.
+
+    The rows and their negatives together have mean zero, so the variances along their principal axes are the squared singular values.
+    Only those, one for each column of the operator, come to the driver.
+    """
+    columns = _columns(step)
+    if not columns:
+        return np.zeros(steps)
+    rows = _dense_rows(step, columns, 0.0)
+    both = rows.unionByName(rows.select("id", F.transform("vec", lambda x: -x).alias("vec")))
+    model = PCA(k=len(columns), inputCol="v", outputCol="out").fit(both.select(array_to_vector("vec").alias("v")))
+    square = step.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    values = np.sqrt(np.maximum(model.explainedVariance.toArray(), 0.0) * square)
+    values = values[values > 1e-7 * values.max(initial=0.0)]  # the rest is rounding
+    out = np.zeros(steps)
+    for t in range(1, steps + 1):
+        share = (values / values.max()) ** t
+        share = share[share > 0] / share.sum()
+        out[t - 1] = -(share * np.log(share)).sum()
+    return out
+
+
+def knee(curve: np.ndarray) -> int:
+    """Index of the point where two straight lines, one up to it and one from it on, fit the curve best; the first of equals."""
+    x = np.arange(len(curve), dtype=float)
+
+    def misfit(lo: int, hi: int) -> float:
+        fit = np.polyfit(x[lo:hi], curve[lo:hi], 1)
+        return float(((np.polyval(fit, x[lo:hi]) - curve[lo:hi]) ** 2).sum())
+
+    tried = range(1, len(curve) - 1)
+    return min(tried, key=lambda i: round(misfit(0, i + 1) + misfit(i, len(curve)), 12), default=0)
+
+
+def _columns(cells: DataFrame) -> list[int]:
+    """The landmarks that a table walks to, ascending: at most as many as were asked for."""
+    return sorted(r["b"] for r in cells.select("b").distinct().collect())
+
+
+def _dense_rows(cells: DataFrame, columns: list[int], empty: float) -> DataFrame:
+    """``(id, vec)``: the rows of a landmark table, with ``empty`` where it has no cell."""
+    rows = cells.groupBy(F.col("a").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    filled = F.transform(F.lit(columns), lambda x: F.coalesce(F.try_element_at("m", x.cast(dict(cells.dtypes)["b"])), F.lit(empty)))
+    return rows.select("id", filled.alias("vec"))
+
+
+def power(step: DataFrame, t: int, scratch: Scratch) -> DataFrame:
+    """The operator ``(a, b, w)`` applied ``t`` times, by squaring: about ``2 log2 t`` joins."""
+    def after(x: DataFrame, y: DataFrame) -> DataFrame:
+        onward = y.select(F.col("a").alias("b"), F.col("b").alias("z"), F.col("w").alias("w2"))
+        return x.join(onward, "b").groupBy("a", F.col("z").alias("b")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+
+    out = None
+    while t:
+        if t % 2:
+            out = step if out is None else scratch.cut(after(out, step), "walk")
+        t //= 2
+        if t:
+            step = scratch.cut(after(step, step), "square")
+    return out
+
+
+def potential_places(walk: DataFrame, k: int) -> DataFrame:
+    """``(id, vec)``: coordinates of landmarks whose distances approximate those between the rows of ``-log(w + 1e-7)``.
+
+    Classical scaling of Euclidean distances between rows is the principal components of the rows, so no table of distances is needed.
+    """
+    potentials = walk.select("a", "b", (-F.log(F.col("w") + 1e-7)).alias("w"))
+    return pca(_dense_rows(potentials, _columns(walk), float(-np.log(1e-7))), k)
+
+
+def diffusion_potential(points: DataFrame, operator: DataFrame, t: int | str = 5, landmarks: int = 100, k: int = 2, seed: int = 67) -> DataFrame:
     """Coordinates that keep potential distances of ``t`` random-walk steps.
 
-    Points walk to landmarks (cluster centres) and landmarks among themselves. Only the landmark
-    table, ``landmarks`` squared cells whatever the number of points, is scaled on the driver; points get
-    the mean position of the landmarks they walk to.
+    Points walk to landmarks (cluster centres) and landmarks among themselves. Landmarks are scaled by the principal components of
+    their potentials; points get the mean position of the landmarks they walk to. With ``t="auto"`` the walk is as long as the knee
+    of the entropies of the landmark operator's powers 1 to 100 says. A table with fewer different points than ``landmarks`` has as
+    many landmarks as points; there have to be at least ``k``.
     """
     scratch = Scratch(points.sparkSession)
     data = points.select("id", array_to_vector("vec").alias("features"))
@@ -175,22 +248,10 @@ def diffusion_potential(points: DataFrame, operator: DataFrame, t: int = 5, land
     to_mark = scratch.cut(to_mark, "to_mark")
     size = home.groupBy(F.col("c").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     seen = home.select(F.col("id").alias("i"), F.col("c").alias("a")).join(to_mark, "i").groupBy("a", F.col("c").alias("b")).agg(F.sum("w").alias("s"))
-    step = seen.join(size, "a").select("a", "b", (F.col("s") / F.col("n")).alias("w"))
-    step = scratch.cut(step, "step")
-    walk = step
-    for _ in range(t - 1):
-        onward = step.select(F.col("a").alias("b"), F.col("b").alias("z"), F.col("w").alias("w2"))
-        walk = scratch.cut(walk.join(onward, "b").groupBy("a", F.col("z").alias("b")).agg(F.sum(F.col("w") * F.col("w2")).alias("w")), "walk", keep=2)
-    cells = walk.toPandas()
-    p = np.full((landmarks, landmarks), 1e-7)
-    p[cells["a"], cells["b"]] += cells["w"]
-    u = -np.log(p)
-    square = ((u[:, None, :] - u[None, :, :]) ** 2).sum(-1)
-    middle = np.eye(landmarks) - 1.0 / landmarks
-    values, vectors = np.linalg.eigh(-0.5 * middle @ square @ middle)
-    top = np.argsort(values)[::-1][:k]
-    places = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
-    marks = points.sparkSession.createDataFrame([(c, [float(x) for x in places[c]]) for c in range(landmarks)], "c int, y array<double>")
+    step = scratch.cut(seen.join(size, "a").select("a", "b", (F.col("s") / F.col("n")).alias("w")), "step")
+    steps = knee(spectral_entropies(step)) + 1 if t == "auto" else t
+    walk = power(step, steps, scratch)
+    marks = scratch.cut(potential_places(walk, k), "marks").select(F.col("id").alias("c"), F.col("vec").alias("y"))
     mixed = to_mark.join(F.broadcast(marks), "c").select("i", "w", F.posexplode("y").alias("axis", "y"))  # one row per landmark
     axes = mixed.groupBy("i").pivot("axis", list(range(k))).agg(F.sum(F.col("w") * F.col("y")))
     return axes.select(F.col("i").alias("id"), F.array(*[F.col(str(a)) for a in range(k)]).alias("vec"))

@@ -33,7 +33,7 @@ def _coordinates(df):
 
 def _potential(s, d):
     data = points(s, d)
-    return _coordinates(rd.diffusion_potential(data, rd.alpha_decay_operator(data, 5, 40), t=5, landmarks=50))
+    return _coordinates(rd.diffusion_potential(data, rd.alpha_decay_operator(data, 5, 40), t="auto"))
 
 
 def _layout(s, d):
