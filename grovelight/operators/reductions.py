@@ -88,11 +88,16 @@ def _bisect(score: Callable[[np.ndarray, np.ndarray], np.ndarray], d: np.ndarray
     return scale
 
 
-def _scaled(points: DataFrame, k: int, scale: Callable[[pd.Series], pd.Series]) -> DataFrame:
+def _neighbours(points: DataFrame, k: int, given: DataFrame | None) -> DataFrame:
+    """``(i, j, d, rank)``: the first ``k`` of the given neighbours (exact or approximate), else the exact ones."""
+    return knn_graph(points, k) if given is None else given.where(F.col("rank") <= k).select("i", "j", "d", "rank")
+
+
+def _scaled(points: DataFrame, k: int, scale: Callable[[pd.Series], pd.Series], neighbours: DataFrame | None) -> DataFrame:
     """Neighbours with a per-row scale: ``(i, j, d, near, scale)``; a row has k neighbours at most."""
     ship_package(points.sparkSession)
     udf = F.pandas_udf(scale, "double")
-    rows = knn_graph(points, k).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("d", "j"))).alias("n"))
+    rows = _neighbours(points, k, neighbours).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("d", "j"))).alias("n"))
     scaled = rows.withColumn("ds", F.col("n.d")).withColumn("scale", udf("ds"))
     return scaled.select("i", "scale", F.element_at("ds", 1).alias("near"), F.explode("n").alias("e")).select(
         "i", "e.j", "e.d", "near", "scale"
@@ -107,7 +112,7 @@ def _symmetric(edges: DataFrame) -> DataFrame:
     return both.groupBy("i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
 
-def fuzzy_knn_graph(points: DataFrame, k: int = 10) -> DataFrame:
+def fuzzy_knn_graph(points: DataFrame, k: int = 10, neighbours: DataFrame | None = None) -> DataFrame:
     """Fuzzy neighbour weights ``(i, j, w)``: each row's scale makes its weights sum to ``log2(k)``,
     and both directions combine as ``a + b - a b``."""
     target = float(np.log2(k))
@@ -118,11 +123,11 @@ def fuzzy_knn_graph(points: DataFrame, k: int = 10) -> DataFrame:
         return pd.Series(_bisect(lambda g, s: np.exp(-g / s[:, None]).sum(1), gap, target))
 
     gap = F.greatest(F.col("d") - F.col("near"), F.lit(0.0))
-    edges = _scaled(points, k, scale).select("i", "j", F.exp(-gap / F.col("scale")).alias("w"))
+    edges = _scaled(points, k, scale, neighbours).select("i", "j", F.exp(-gap / F.col("scale")).alias("w"))
     return _symmetric(edges).select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w"))
 
 
-def perplexity_affinities(points: DataFrame, perplexity: float) -> DataFrame:
+def perplexity_affinities(points: DataFrame, perplexity: float, neighbours: DataFrame | None = None) -> DataFrame:
     """Joint probabilities ``(i, j, p)`` whose rows have the wanted perplexity before symmetrising."""
     target = float(np.log(perplexity))
 
@@ -138,17 +143,17 @@ def perplexity_affinities(points: DataFrame, perplexity: float) -> DataFrame:
         return pd.Series(_bisect(entropy, square, target))
 
     weight = F.exp((F.col("near") * F.col("near") - F.col("d") * F.col("d")) / F.col("scale"))
-    edges = _scaled(points, int(3 * perplexity), scale).select("i", "j", weight.alias("w"))
+    edges = _scaled(points, int(3 * perplexity), scale, neighbours).select("i", "j", weight.alias("w"))
     total = edges.groupBy("i").agg(F.sum("w").alias("s"))
     conditional = edges.join(total, "i").select("i", "j", (F.col("w") / F.col("s")).alias("w"))
     n = points.agg(F.count(F.lit(1)).cast("double"))
     return _symmetric(conditional).select("i", "j", ((F.col("a") + F.col("b")) / (2 * n.scalar())).alias("p"))
 
 
-def alpha_decay_operator(points: DataFrame, knn: int = 5, decay: float = 40) -> DataFrame:
+def alpha_decay_operator(points: DataFrame, knn: int = 5, decay: float = 40, neighbours: DataFrame | None = None) -> DataFrame:
     """Row-stochastic ``(i, j, w)`` from ``exp(-(d / eps_i)^decay)`` with ``eps_i`` the distance of
     the knn-th neighbour, averaged over both directions."""
-    near = knn_graph(points, knn)
+    near = _neighbours(points, knn, neighbours)
     eps = near.groupBy("i").agg(F.max("d").alias("eps"))
     edges = near.join(eps, "i").where("eps > 0").select(
         "i", "j", F.exp(-F.pow(F.col("d") / F.col("eps"), F.lit(float(decay)))).alias("w")
@@ -303,10 +308,10 @@ def _with_distance(pairs: DataFrame, points: DataFrame, a: str, b: str, out: str
     return pairs.join(va, a).join(vb, b).withColumn(out, F.sqrt(square_distance(F.col("_va"), F.col("_vb")))).drop("_va", "_vb")
 
 
-def mine_triplets(points: DataFrame, n_in: int = 12, n_out: int = 4, n_rand: int = 3, seed: int = 67) -> DataFrame:
+def mine_triplets(points: DataFrame, n_in: int = 12, n_out: int = 4, n_rand: int = 3, seed: int = 67, neighbours: DataFrame | None = None) -> DataFrame:
     """``(anchor, near, far, weight)``: neighbours against sampled others, and random triplets."""
     scratch = Scratch(points.sparkSession)
-    near = scratch.cut(knn_graph(points, max(n_in, 6)), "near")
+    near = scratch.cut(_neighbours(points, max(n_in, 6), neighbours), "near")
     inner = near.where(F.col("rank") <= n_in).select("i", "j", "d")
     mined = _far_points(points, inner, ["i", "j"], near, max(n_in, 6), n_out, seed, scratch)
     anchors = points.select(F.col("id").alias("i"))
@@ -329,10 +334,10 @@ def mine_triplets(points: DataFrame, n_in: int = 12, n_out: int = 4, n_rand: int
     )
 
 
-def mine_pairs(points: DataFrame, n_near: int = 10, n_mid: int = 5, n_far: int = 20, seed: int = 67, extra: int = 50) -> DataFrame:
+def mine_pairs(points: DataFrame, n_near: int = 10, n_mid: int = 5, n_far: int = 20, seed: int = 67, extra: int = 50, neighbours: DataFrame | None = None) -> DataFrame:
     """``(i, j, kind)``: near pairs by scaled distance, mid pairs (second nearest of six), far pairs."""
     scratch = Scratch(points.sparkSession)
-    near = scratch.cut(knn_graph(points, n_near + extra), "near")
+    near = scratch.cut(_neighbours(points, n_near + extra, neighbours), "near")
     sigma = scratch.cut(_local_scale(near), "sigma")
     scaled = near.join(sigma.withColumnRenamed("sigma", "s_i"), "i").join(sigma.select(F.col("i").alias("j"), F.col("sigma").alias("s_j")), "j")
     scaled = scaled.withColumn("q", F.col("d") * F.col("d") / (F.col("s_i") * F.col("s_j")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import l2_normalize
 from ..functions.text import ASCII_SPACE
 from ..operators import pivots as pv, reductions as rd, tiles as t
+from ..operators.descent import knn_graph_descent
 from ..operators.describe import describe_clusters
 from .relations import CORPUS_CTE, POINTS_CTE, corpus, flat_points, points
 
@@ -58,6 +59,7 @@ QUERIES = {
     "V4_knn_graph": lambda s, d: _knn(s, d, False),
     "V4_knn_graph_self": lambda s, d: _knn(s, d, True),
     "V5_knn_graph_approx": lambda s, d: rd.knn_graph_approx(points(s, d), 10),
+    "V5_knn_graph_descent": lambda s, d: knn_graph_descent(points(s, d), 10),
     "V6_pca": lambda s, d: _coordinates(rd.pca(points(s, d), 2)),
     "V7_fuzzy_knn_graph": lambda s, d: rd.fuzzy_knn_graph(points(s, d), 10).withColumn("w", F.round("w", 6)),
     "V8_perplexity_affinities": lambda s, d: rd.perplexity_affinities(points(s, d), 30).withColumn("p", F.round("p", 9)),
