@@ -87,3 +87,28 @@ def test_pca_matches_eigenvectors(spark):
     top = vectors[:, np.argsort(values)[::-1][:2]]
     top = top * np.sign(top[np.abs(top).argmax(0), range(2)])
     assert np.allclose(np.array([got[i] for i in range(30)]), centred @ top, atol=1e-8)
+
+
+def test_rank_tiles_carry_numbers_not_vectors(spark, monkeypatch):
+    """Each wanted pair costs a tile its id and its distance, whatever the width; blocks grow to what a task can hold."""
+    from grovelight.operators import tiles as t
+
+    x = np.round(np.random.default_rng(9).normal(size=(90, 16)), 1)
+    x[5] = x[6]
+    points = table(spark, x)
+    pairs = spark.createDataFrame([(i, (i * 7 + s) % 90) for i in range(90) for s in (1, 3, 11) if i != (i * 7 + s) % 90], "i long, j long")
+    seen, plain = [], t.tiles
+
+    def watched(points, by=(), more=(), tiling=None):
+        arrays = [c for c in ("vec", *more) if points.schema[c].dataType.typeName() == "array"]
+        seen.append(points.agg(F.sum(sum(F.size(c) for c in arrays))).first()[0])
+        return plain(points, by, more, tiling)
+
+    monkeypatch.setattr(t, "tiles", watched)
+    got = {(r["i"], r["j"]): r["rank"] for r in t.ranks_of_pairs(points, pairs).collect()}
+    assert seen == [90 * 16 + 2 * pairs.count()]
+    d = t.exact_square(x, x)
+    for (i, j), rank in got.items():
+        assert rank == 1 + sum((d[i, c], c) < (d[i, j], j) for c in range(90) if c != i)
+    assert len(got) == pairs.distinct().count()
+    assert t.tiling_for(spark, 100_000, 1, 1 << 30, 8192).blocks < t.tiling_for(spark, 100_000, 1, 1 << 30).blocks / 7
