@@ -83,3 +83,24 @@ def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     x = np.random.default_rng(6).normal(size=(150, 2))
     got = sorted((r["i"], r["j"], r["rank"]) for r in pv.nearest(table(spark, x), 3).collect())
     assert got == sorted(brute(x, 3, False))
+
+
+def test_a_search_keeps_only_the_nearest_of_a_row(spark, monkeypatch):
+    """However many cells a row looks into, one task holds it and sends its k nearest, and blocks come once a group."""
+    monkeypatch.setattr(pv.t, "SMALL_BYTES", 0)
+    x = np.random.default_rng(7).normal(size=(400, 8))
+    points = table(spark, x)
+    index = pv.build(points, Scratch(spark))
+    sent = pv.search(index, points, pv._nearest_kernel(5, False), "i long, j long, d double", wanted=6, best=(5, ("d", "j")))
+    assert sent.count() == 5 * len(x)
+    cells = pv.route(index, points, wanted=6)
+    groups = cells.select("grp").distinct().count()
+    assert cells.select("grp", "cell").distinct().count() <= groups * len(index.centres) and groups <= 1 + len(x) // pv.MIN_GROUP * 2
+    assert "l_flat" not in cells.columns
+
+
+def test_copies_of_an_id_share_their_neighbours(spark):
+    x = np.random.default_rng(8).normal(size=(40, 3))
+    twice = table(spark, x).unionByName(table(spark, x))
+    rows = pv.nearest(twice, 4).groupBy("i").count().collect()
+    assert len(rows) == 40 and {r["count"] for r in rows} == {4}
