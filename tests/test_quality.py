@@ -112,3 +112,17 @@ def test_rank_tiles_carry_numbers_not_vectors(spark, monkeypatch):
         assert rank == 1 + sum((d[i, c], c) < (d[i, j], j) for c in range(90) if c != i)
     assert len(got) == pairs.distinct().count()
     assert t.tiling_for(spark, 100_000, 1, 1 << 30, 8192).blocks < t.tiling_for(spark, 100_000, 1, 1 << 30).blocks / 7
+
+
+def test_one_part_of_nodes_has_no_border(spark, monkeypatch):
+    """A graph of more nodes than a block of rows is settled in one round, in which nothing is sent."""
+    n, rounds, cut = 1300, [], q.Scratch.cut
+    edges = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("w"))
+
+    def watched(self, df, name="state", keep=0):
+        rounds.extend([name] if name == "paths" else [])
+        return cut(self, df, name, keep)
+
+    monkeypatch.setattr(q.Scratch, "cut", watched)
+    row = q.shortest_paths(edges, spark.range(n)).agg(F.count("g").alias("n"), F.max(F.abs(F.col("g") - F.col("j") + F.col("i"))).alias("off")).first()
+    assert (row["n"], row["off"]) == (n * (n - 1) // 2, 0.0) and len(rounds) == 1
