@@ -104,3 +104,10 @@ def test_copies_of_an_id_share_their_neighbours(spark):
     twice = table(spark, x).unionByName(table(spark, x))
     rows = pv.nearest(twice, 4).groupBy("i").count().collect()
     assert len(rows) == 40 and {r["count"] for r in rows} == {4}
+
+
+def test_no_search_asks_for_a_broadcast_of_its_blocks(spark):
+    points = table(spark, np.random.default_rng(9).normal(size=(60, 4)))
+    index = pv.build(points, Scratch(spark))
+    sent = pv.search(index, points, pv._nearest_kernel(3, False), "i long, j long, d double", wanted=4, best=(3, ("d", "j")))
+    assert "strategy=broadcast" not in sent._jdf.queryExecution().optimizedPlan().toString()
