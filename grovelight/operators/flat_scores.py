@@ -14,6 +14,7 @@ from ..functions.numeric import ln_overlap_chance
 
 EMI_CHUNK = 8192
 EMI_SIZES = 1_000  # different cluster sizes that one side of a grid cell holds
+NIL = 800.0  # exp(-746) is zero in doubles: less likely overlaps add nothing
 
 
 def aligned_labels(target: DataFrame, pred: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
@@ -154,13 +155,18 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean mutual information of random labelings with the same margins.
 
     Clusters of equal size share one term, so the work depends on distinct sizes. The overlap counts
-    of one size pair are cut into chunks that separate tasks can sum.
+    of one size pair are cut into chunks that separate tasks sum. Overlaps so far from the expected one that
+    Chernoff's bounds put their chance below ``exp(-NIL)``, which is zero in doubles, are not listed: about the
+    square root of the expected overlap is left.
     """
     sizes_a = _margins(cells, "target", by).groupBy(*by, F.col("c").alias("a")).agg(F.count(F.lit(1)).alias("times_a"))
     sizes_b = _margins(cells, "pred", by).groupBy(*by, F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("times_b"))
     totals = cells.groupBy(*by).agg(F.sum("n_ij").alias("n"))
     a, b, n, m = F.col("a"), F.col("b"), F.col("n"), F.col("m")
-    low, high = F.greatest(F.lit(1).cast("long"), a + b - n), F.least(a, b)
+    mean = a.cast("double") * b.cast("double") / n
+    below, above = F.sqrt(2 * NIL * mean), NIL / 3 + F.sqrt(NIL * NIL / 9 + 2 * NIL * mean)
+    low = F.greatest(F.lit(1).cast("long"), a + b - n, F.floor(mean - below).cast("long"))
+    high = F.least(a, b, F.ceil(mean + above).cast("long"))
     # every size meets every other: both sides are laid out on a grid of cells, so that no task or broadcast holds all of one side
     most = sizes_a.select(*by).unionByName(sizes_b.select(*by)).groupBy(*by).count().agg(F.max("count")).first()[0] or 1
     grid = math.ceil(most / EMI_SIZES)
@@ -172,7 +178,7 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str]) -> DataFrame:
         rows.join(columns, [*by, "_x", "_y"])
         .where(low <= high)
         .withColumn("start", F.explode(F.sequence(low, high, F.lit(EMI_CHUNK).cast("long"))))
-        .repartition("a", "b", "start")
+        .repartition(cells.sparkSession.sparkContext.defaultParallelism, "a", "b", "start")  # few bytes, much work: not to be coalesced
     )
     terms = chunks.withColumn("m", F.explode(F.sequence("start", F.least(F.col("start") + EMI_CHUNK - 1, high))))
     term = (m / n) * (F.log(n.cast("double")) + F.log(m.cast("double")) - F.log(a.cast("double")) - F.log(b.cast("double")))

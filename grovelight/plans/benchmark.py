@@ -49,7 +49,7 @@ def _scored(
     index = tr.index_tree(tree)
     truth = index.scratch.cut(tr.ground_truth_tree(labels, depth), "truth")
     flat = index.scratch.cut(_level_scores(labels, depth, index, merges), "flat")
-    apart = tr.clade_difference(index.nodes, truth).select("difference")
+    apart = tr.clade_difference(index.nodes, truth, index).select("difference")
     whole = None
     for number in range(depth):
         one = labels.select("id", F.col(f"category_{number}").alias("label"))

@@ -62,3 +62,10 @@ def test_one_cluster_and_singletons(spark):
     alone = spark.createDataFrame([(i, str(i), str(i)) for i in range(5)], "id long, target string, pred string")
     row = fs.flat_scores(alone).first()
     assert row["fm"] == 0.0 and row["ari"] == 1.0
+
+
+def test_expected_overlap_of_very_large_clusters(spark):
+    """Four cells of a quarter of a billion rows: listing every possible overlap would not end."""
+    cells = spark.createDataFrame([(0, a, b, 250_000_000) for a in "xy" for b in "xy"], "g int, target string, pred string, n_ij long")
+    found = fs.expected_mutual_info(cells, ["g"]).first()["emi"]
+    assert found == pytest.approx(1 / (2 * 1_000_000_000), rel=1e-3)  # (rows - 1) (columns - 1) / 2n
