@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ from ..functions.ordering import with_position
 from ..session import ship_package
 from ..sources.scratch import Scratch
 from .pivots import knn_graph
-from .prep import hashed
 
 HALVINGS = 64
 
@@ -263,26 +263,39 @@ def diffusion_potential(points: DataFrame, operator: DataFrame, t: int | str = 5
 
 
 TURNS = 12
+SPARE = 2  # draws beyond those wanted, before it is known whether they are needed
 
 
-def _draws(rows: DataFrame, keys: list[str], n: int, count: int, seed: int, tag: str) -> DataFrame:
-    """``min(count, n)`` different pseudo-random positions below ``n`` per row, repeatable: adds ``nth`` and ``pos``.
+def _draws(rows: DataFrame, keys: list[str], n: int, count: int, seed: int, tag: str, start: int = 0) -> DataFrame:
+    """``min(count, n)`` different pseudo-random positions below ``n`` per row, repeatable: adds ``nth`` and ``pos``; the first ``start`` are left out.
 
     Every row has its own permutation of the positions, and its draws are where the first ``count`` go. In each turn a position and
     its mirror image about a secret centre change places or stay, by a hash of the larger of the two; that is a permutation for every ``n``.
+    The hashes are those of ``hashed``: the first 15 digits of an md5, whose last bit is one of its eighth byte. The centres are hashed once a row.
     """
-    size = F.lit(max(n, 1))
-    keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(f"{tag}:{seed}"))))
-    numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(min(count, n), 1) - 1))))
-
-    def moved(pos: Column, turn: Column) -> Column:
-        mirror = F.pmod(hashed(F.col("_key"), turn) - pos, size).cast("long")
-        swap = hashed(F.col("_key"), turn, F.greatest(pos, mirror)) % 2 == 1
-        return F.when(swap, mirror).otherwise(pos)
-
-    # one fold, not a column per turn: those would be copied into each other by the optimizer
-    turns = F.sequence(F.lit(0), F.lit(TURNS - 1))
-    return numbered.withColumn("pos", F.aggregate(turns, F.col("nth").cast("long"), moved)).drop("_key")
+    spark = rows.sparkSession
+    ship_package(spark)
+
+    def permuted(keyed: pd.Series) -> pd.Series:
+        found = []
+        for key in keyed:
+            centres = [int.from_bytes(md5(f"{key}:{turn}".encode()).digest()[:8], "big") >> 4 for turn in range(TURNS)]
+            places = []
+            for pos in range(start, min(count, n)):
+                for turn, centre in enumerate(centres):
+                    mirror = (centre - pos) % n
+                    if md5(f"{key}:{turn}:{max(pos, mirror)}".encode()).digest()[7] & 16:
+                        pos = mirror
+                places.append(pos)
+            found.append(places)
+        return pd.Series(found)
+
+    # few bytes and much work: dealt over all cores, however few files the rows are in
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(f"{tag}:{seed}")))
+    places = F.pandas_udf(permuted, "array<long>")(key)
+    drawn = rows.repartition(tasks, *keys).withColumn("_places", places).select(*rows.columns, F.posexplode("_places").alias("nth", "pos"))
+    return drawn.withColumn("nth", F.col("nth") + start)
 
 
 def _local_scale(near: DataFrame) -> DataFrame:
@@ -293,11 +306,20 @@ def _local_scale(near: DataFrame) -> DataFrame:
 def _far_points(points: DataFrame, anchors: DataFrame, keys: list[str], near: DataFrame, k: int, count: int, seed: int, scratch: Scratch) -> DataFrame:
     """``count`` sampled points per anchor row that are neither the anchor nor its (at most ``k``) neighbours.
 
-    As many spare positions are drawn as can be taken away, so there are fewer only where fewer exist."""
+    As many spare positions may be drawn as can be taken away, so there are fewer only where fewer exist; ``SPARE`` at first, the
+    others for the rows that those leave short."""
     places = scratch.cut(with_position(points.select("id"), F.col("id"), "pos"), "places")
     n = places.count()
-    drawn = _draws(anchors, keys, n, count + k + 1, seed, "far").join(places, "pos").withColumnRenamed("id", "far")
-    clean = drawn.where("far <> i").join(near.select("i", F.col("j").alias("far")), ["i", "far"], "left_anti")
+    most, first = count + k + 1, count + min(SPARE, k + 1)
+
+    def free(rows: DataFrame, start: int, end: int) -> DataFrame:
+        drawn = _draws(rows, keys, n, end, seed, "far", start).join(places, "pos").withColumnRenamed("id", "far")
+        return drawn.where("far <> i").join(near.select("i", F.col("j").alias("far")), ["i", "far"], "left_anti")
+
+    drawn = scratch.cut(free(anchors, 0, first), "drawn")
+    full = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= count)
+    short = scratch.cut(anchors.join(full, keys, "left_anti"), "short")
+    clean = drawn.unionByName(free(short, first, most))
     order = W.partitionBy(*keys).orderBy("nth")
     return clean.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).drop("_r", "nth", "pos")
 

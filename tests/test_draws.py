@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovelight.operators import reductions as rd
+from grovelight.operators.prep import hashed
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
@@ -25,3 +26,20 @@ def test_draws_spread_evenly(spark):
     assert len(cells) == 10 and sum((c - rows / 10) ** 2 / (rows / 10) for c in cells) < 35  # 9 degrees
     again = rd._draws(spark.range(rows), ["id"], n, count, 5, "t")
     assert again.exceptAll(drawn).count() == 0
+
+
+def test_draws_follow_the_hash_rule_and_use_all_cores(spark):
+    """The same positions as ``hashed`` gives turn by turn, from a table that lies in one partition, whole or in two parts."""
+    n, rows = 37, spark.range(0, 40, 1, 1)
+    whole = rd._draws(rows, ["id"], n, 9, 5, "t")
+    assert whole.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    state = rows.withColumn("key", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("t:5")))).withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    state = state.withColumn("pos", F.col("nth").cast("long"))
+    for turn in range(rd.TURNS):
+        mirror = F.pmod(hashed(F.col("key"), F.lit(turn)) - F.col("pos"), F.lit(n)).cast("long")
+        swap = hashed(F.col("key"), F.lit(turn), F.greatest(F.col("pos"), mirror)) % 2 == 1
+        state = state.withColumn("pos", F.when(swap, mirror).otherwise(F.col("pos"))).localCheckpoint()
+    expected = state.select("id", "nth", "pos")
+    both = rd._draws(rows, ["id"], n, 4, 5, "t").unionByName(rd._draws(rows, ["id"], n, 9, 5, "t", 4))
+    for found in (whole, both):
+        assert found.count() == 360 and found.exceptAll(expected).count() == 0
