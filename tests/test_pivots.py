@@ -1,6 +1,9 @@
 """Searches through pivots: the same rows as all pairs, and most blocks left out where points are clustered."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,18 @@ def test_no_search_asks_for_a_broadcast_of_its_blocks(spark):
     index = pv.build(points, Scratch(spark))
     sent = pv.search(index, points, pv._nearest_kernel(3, False), "i long, j long, d double", wanted=4, best=(3, ("d", "j")))
     assert "strategy=broadcast" not in sent._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_are_placed_a_packet_at_a_time():
+    """A batch of 10,000 rows and 1,024 pivots: no more than a packet's table of distances is held."""
+    rng = np.random.default_rng(6)
+    x, centres = rng.normal(size=(10_000, 8)), rng.normal(size=(1024, 8))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 80_001, 8), pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), flat], ["id", "vec"])
+    tracemalloc.start()
+    found = list(pv._with_cells(iter([batch]), centres))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and sum(f.num_rows for f in found) == 10_000
+    cells = np.concatenate([f.column("cell").to_numpy() for f in found])
+    assert (cells[:50] == ((x[:50, None] - centres) ** 2).sum(-1).argmin(1)).all()
