@@ -17,15 +17,19 @@ def flat_level_scores(merges: DataFrame, labels: DataFrame, depth: int, by_size:
     return _level_scores(labels, depth, index, None if by_size else merges)
 
 
+def _long(labels: DataFrame, depth: int, name: str) -> DataFrame:
+    """One row for each id and label level."""
+    return labels.unpivot(["id"], [f"category_{i}" for i in range(depth)], "category", name).select(
+        "id", F.regexp_extract("category", r"(\d+)$", 1).cast("int").alias("level_idx"), name
+    )
+
+
 def _level_scores(labels: DataFrame, depth: int, index: tr.Indexed, merges: DataFrame | None) -> DataFrame:
     """Cuts by height where there are merges, else by size."""
     levels = levels_for(labels, depth).select("level_idx", F.col("n_clusters").alias("k"))
     asked = levels.select("k").distinct()
     cuts = tr.cut_by_size(index.nodes, asked, index) if merges is None else tr.cut_by_height(merges, asked, index)
-    long = labels.unpivot(["id"], [f"category_{i}" for i in range(depth)], "category", "target").select(
-        "id", F.regexp_extract("category", r"(\d+)$", 1).cast("int").alias("level_idx"), "target"
-    )
-    target = long.join(F.broadcast(levels), "level_idx")  # one row per label level
+    target = _long(labels, depth, "target").join(F.broadcast(levels), "level_idx")  # one row per label level
     pred = cuts.select("k", "id", F.col("cluster").alias("pred"))
     paired = index.scratch.cut(fs.aligned_labels(target, pred, on=("k", "id")), "paired")
     return fs.flat_scores(paired, ["level_idx", "k"]).withColumnRenamed("k", "level")
@@ -50,12 +54,7 @@ def _scored(
     truth = index.scratch.cut(tr.ground_truth_tree(labels, depth), "truth")
     flat = index.scratch.cut(_level_scores(labels, depth, index, merges), "flat")
     apart = tr.clade_difference(index.nodes, truth, index).select("difference")
-    whole = None
-    for number in range(depth):
-        one = labels.select("id", F.col(f"category_{number}").alias("label"))
-        row = ts.dendrogram_purity(index.nodes, one, index).withColumn("lca_f1", ts.lca_f1(index.nodes, truth, one, index).scalar())
-        row = row.withColumn("level_idx", F.lit(number))
-        whole = row if whole is None else whole.unionByName(row)
+    whole = ts.level_scores(index, truth, _long(labels, depth, "label"))
     return flat.join(whole, "level_idx").withColumn("tree_difference", apart.scalar()).select(
         F.lit(model).alias("embedding_model"), F.lit(reduction).alias("reduction_method"), F.lit(clusterer).alias("cluster_method"),
         "level_idx", "level", "fm", "rand", "ari", "ami", "dendrogram_purity", "lca_f1", "tree_difference",
