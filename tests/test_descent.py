@@ -48,3 +48,35 @@ def test_weights_take_given_neighbours(spark):
     assert same(rounded(rd.fuzzy_knn_graph(points, 5), "w"), rounded(rd.fuzzy_knn_graph(points, 5, near), "w"))
     assert same(rounded(rd.perplexity_affinities(points, 5), "p"), rounded(rd.perplexity_affinities(points, 5, near), "p"))
     assert same(rounded(rd.alpha_decay_operator(points, 5, 10), "w"), rounded(rd.alpha_decay_operator(points, 5, 10, near), "w"))
+
+
+def test_vectors_are_sent_once_an_edge(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5))
+    x[:40] = x[0]  # a hub of copies
+    points = table(spark, x)
+    start = rd.knn_graph_approx(points, 6, projections=1, window=16)
+    monkeypatch.setattr(descent, "_proposals", lambda state: pytest.fail("a pair is not joined to two vectors"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")  # groups go over several batches
+    try:
+        found = descent.refine(points, start, 6, rounds=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # the same two rounds, pair by pair
+    held, edges = 10, {}
+    key = lambda i, j: (float(np.sqrt(sum((a - b) ** 2 for a, b in zip(x[i], x[j])))), j)
+    for r in start.collect():
+        edges.setdefault(r["i"], {})[r["j"]] = True
+    for _ in range(2):
+        asked = {i: set() for i in edges}
+        for i, near in edges.items():
+            for via, f1 in near.items():
+                asked[i] |= {j for j, f2 in edges[via].items() if f1 or f2}
+                asked[via] |= {i} if f1 else set()
+                for j, f2 in near.items():
+                    asked[via] |= {j} if f1 or f2 else set()
+        edges = {
+            i: {j: j not in near for j in sorted({*near, *asked[i]} - {i}, key=lambda j: key(i, j))[:held]} for i, near in edges.items()
+        }
+    expected = {(i, j) for i, near in edges.items() for j in sorted(near, key=lambda j: key(i, j))[:6]}
+    assert {(r["i"], r["j"]) for r in found} == expected
