@@ -126,3 +126,22 @@ def test_one_part_of_nodes_has_no_border(spark, monkeypatch):
     monkeypatch.setattr(q.Scratch, "cut", watched)
     row = q.shortest_paths(edges, spark.range(n)).agg(F.count("g").alias("n"), F.max(F.abs(F.col("g") - F.col("j") + F.col("i"))).alias("off")).first()
     assert (row["n"], row["off"]) == (n * (n - 1) // 2, 0.0) and len(rounds) == 1
+
+
+def test_spearman_keeps_of_a_pair_what_the_next_step_needs(spark, monkeypatch):
+    """No pair is written before it is ranked, and none with a distance whose rank is known."""
+    written, cut = [], q.Scratch.cut
+
+    def seen(self, df, name="state", keep=0):
+        written.append((name, set(df.columns)))
+        return cut(self, df, name, keep)
+
+    monkeypatch.setattr(q.Scratch, "cut", seen)
+    rows = np.random.default_rng(8).normal(size=(40, 3))
+    high, low = table(spark, rows), table(spark, rows[:, :1])
+    ranks = lambda x: (x[:, None] > x[None, :]).sum(1) + ((x[:, None] == x[None, :]).sum(1) + 1) / 2
+    full = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).ravel()
+    want = np.corrcoef(ranks(full(rows)), ranks(full(rows[:, :1])))[0, 1]
+    assert q.distance_spearman(high, low).first()[0] == pytest.approx(want)
+    assert [name for name, _ in written] == ["ranges", "ranges"]
+    assert "d" not in written[1][1] and "w" not in written[0][1]
