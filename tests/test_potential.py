@@ -71,3 +71,28 @@ def test_walk_length_may_be_chosen(spark):
     within = np.sqrt(((y - centres[:, None]) ** 2).sum(-1)).mean()
     between = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(-1))[np.triu_indices(3, 1)].min()
     assert between > 2 * within
+
+
+def test_alpha_decay_weighs_all_partners(spark):
+    """Against the whole kernel in numpy: partners beyond the knn-th count, in a dense and a sparse cloud, with copies and repeated ids."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(50, 3)), 40 + 0.1 * rng.normal(size=(40, 3)), np.full((7, 3), -30.0)])
+
+    def whole(x, decay):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        eps = np.sort(d + np.diag(np.full(len(x), np.inf)), axis=1)[:, 4]
+        a = np.array([np.exp(-((row / e) ** decay)) if e > 0 else np.zeros(len(x)) for row, e in zip(d, eps)])
+        w = (a + a.T) / 2
+        np.fill_diagonal(w, 1.0)
+        return w, w / w.sum(1, keepdims=True)
+
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    for decay in (10, 40):
+        w, want = whole(x, decay)
+        got = {(r["i"], r["j"]): r["w"] for r in rd.alpha_decay_operator(spark.createDataFrame(rows, "id long, vec array<double>"), 5, decay).collect()}
+        assert got.keys() == {(int(i), int(j)) for i, j in zip(*np.nonzero(w))}
+        assert len(got) > 97 * 11 and all(v == pytest.approx(want[k], rel=1e-9) for k, v in got.items())
+    twice = spark.createDataFrame(rows[:50] + rows[:3], "id long, vec array<double>")
+    got = rd.alpha_decay_operator(twice, 5, 10).collect()
+    assert len({(r["i"], r["j"]) for r in got}) == len(got) - 3
+    assert sum(r["w"] for r in got) == pytest.approx(50.0)
