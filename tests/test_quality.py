@@ -145,3 +145,26 @@ def test_spearman_keeps_of_a_pair_what_the_next_step_needs(spark, monkeypatch):
     assert q.distance_spearman(high, low).first()[0] == pytest.approx(want)
     assert [name for name, _ in written] == ["ranges", "ranges"]
     assert "d" not in written[1][1] and "w" not in written[0][1]
+
+
+def test_blocks_are_dealt_once_and_whole_tables_go_through_pivots(spark, monkeypatch):
+    """No tile gets its blocks through a shuffle or the driver, in one group or two; neighbours of a table of different ids are not compared in tiles."""
+    from grovelight.operators import tiles as t
+
+    x = np.random.default_rng(3).normal(size=(150, 3))
+    points = table(spark, x)
+    two = points.withColumn("g", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    for df, by in ((points, []), (two, ["g"])):
+        tiled = t.tiles(df, by)
+        plan = tiled._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" in plan and "BroadcastExchange" not in plan
+        # a row of each group in each block meets every other row once
+        pairs = tiled.select(*by, (F.size("l_ids") * F.size("r_ids")).alias("n"), (F.col("_l") == F.col("_r")).alias("same"))
+        assert {r["n"] for r in pairs.groupBy(*by).agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(2 * F.col("n"))).alias("n")).collect()} == {150 * 150}
+    wide = t.tiling_for(spark, 600_000, 1, 320 << 20, 8192)
+    assert wide.partitions(8) <= wide.blocks and wide.size * wide.blocks / wide.partitions(8) ** 2 <= t.TASK_BYTES
+    low = points.select("id", F.slice("vec", 1, 2).alias("vec"))
+    want = q.neighbour_scores(two.where("g = 'a'"), low.withColumn("g", F.lit("a")), 5, ["g"]).first()
+    monkeypatch.setattr(t, "nearest_in_groups", lambda *a: pytest.fail("compared in tiles"))
+    assert q.trustworthiness(points, low, 5).first()[0] == pytest.approx(want["trustworthiness"])
+    assert q.continuity(points, low, 5).first()[0] == pytest.approx(want["continuity"])
