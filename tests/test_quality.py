@@ -168,3 +168,21 @@ def test_blocks_are_dealt_once_and_whole_tables_go_through_pivots(spark, monkeyp
     monkeypatch.setattr(t, "nearest_in_groups", lambda *a: pytest.fail("compared in tiles"))
     assert q.trustworthiness(points, low, 5).first()[0] == pytest.approx(want["trustworthiness"])
     assert q.continuity(points, low, 5).first()[0] == pytest.approx(want["continuity"])
+
+
+def test_the_graph_is_not_sent_once_a_block(spark, monkeypatch):
+    """However many blocks of sources there are, a graph that a task can hold is written once, and lengths once, in one triangle."""
+    n, written, cut = 400, {}, q.Scratch.cut
+
+    def watched(self, df, name="state", keep=0):
+        out = cut(self, df, name, keep)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(q.Scratch, "cut", watched)
+    monkeypatch.setattr(q, "CELL_BYTES", 8 * n * 5)  # five sources a block: eighty blocks
+    edges = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("w"))
+    paths = q.shortest_paths(edges, spark.range(n))
+    row = paths.agg(F.count("g").alias("n"), F.max(F.abs(F.col("g") - F.col("j") + F.col("i"))).alias("off")).first()
+    assert (row["n"], row["off"]) == (n * (n - 1) // 2, 0.0)
+    assert (written["graph"], written["paths"]) == (2 * (n - 1), n * (n - 1) // 2)
